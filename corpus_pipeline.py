@@ -1,8 +1,49 @@
-"""The corpus pipeline: stages that each call one of the corpus operators."""
+"""The corpus pipeline: low quality, exact and near copies and benchmark leaks go; what is left is packed."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillstone.llm.common import new_path, table
+from quillstone.llm.decontamination import decontaminated
+from quillstone.llm.exact_dedup import exact_dedup
+from quillstone.llm.near_dedup import near_deduplicated
+from quillstone.llm.packing import pack
+from quillstone.llm.quality import fit, scored
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model, learned from the labels, does not reject."""
+    model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup(docs).filter("kept").select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_deduplicated(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("decontamination", benchmark_stage), ("packing", packing_stage)]
+#: No SQL for learned scores, hashed signatures and tokenizers: tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written as Parquet in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -179,7 +179,7 @@ def joined(counts: list) -> np.ndarray:
 
 def level_of(context: np.ndarray) -> np.ndarray:
     """The bucket of a context count."""
-    return np.minimum(np.frexp(context.astype(float))[1], BUCKETS - 1) * (context > 0)
+    return (np.minimum(np.frexp(context.astype(float))[1], BUCKETS - 1) * (context > 0)).astype(np.int64)
 
 
 def learn_weights(histogram, n: int, v: int, rounds: int = 60) -> np.ndarray:
@@ -252,8 +252,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
                     two = np.log2((pair - 1) / (context - 1) / uniform)
                     one = np.log2((word - 1) / max(n - 1, 1) / uniform)
                 two, one = (np.where(np.isfinite(x), np.rint(np.where(np.isfinite(x), x, 0) * GRID), NONE).astype(np.int64) for x in (two, one))
-                code, times = np.unique(np.stack([level_of(context), two, one], 1), axis=0, return_counts=True) if len(two) else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(code[:, 0], pa.int64()), pa.array(code[:, 1], pa.int64()), pa.array(code[:, 2], pa.int64()), pa.array(times, pa.int64())], ["level", "two", "one", "n"])
+                code, times = np.unique((level_of(context) << 40) + ((two - NONE) << 20) + (one - NONE), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code >> 40), pa.array((code >> 20 & 0xFFFFF) + NONE), pa.array((code & 0xFFFFF) + NONE), pa.array(times)], ["level", "two", "one", "n"])
 
     # as many rows as the grid has places, however large the corpus
     histogram = whole.mapInArrow(events, "level long, two long, one long, n long").groupBy("level", "two", "one").agg(F.sum("n")).collect()

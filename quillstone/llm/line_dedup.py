@@ -5,27 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, stored
+from .common import forget, hot_lookup, stored
 
 #: A repeated run is deleted if it has at least so many characters.
 MIN_CHARS = 40
 _ID = ["doc_id", "digest", "line"]
 
 
-def ranked(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """keys, rank, first (doc_id, digest, line) for each combination of keys with two rows at least.
+def ranked(rows: DataFrame, key: str, order: list[str], tag: str) -> DataFrame:
+    """key, rank, first (doc_id, digest, line), n for each key that two rows have at least; key stands for the columns in order.
 
-    Ranks follow the order of keys: the combinations are dealt by ranges and numbered in order, so that no task needs
-    more than its range. Rows are counted before the shuffle, so that a line with a third of all rows costs one row a task.
+    Ranks follow those columns: the keys are dealt by ranges and numbered in order, so that no task needs more than its
+    range. Rows are counted before the shuffle, so that a line with a third of all rows costs one row a task.
     """
-    seen = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*_ID)).alias("first")).filter("n > 1")
-    seen = stored(seen, tag)
-    out = seen.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()).drop("n")
-    out = stored(out, tag)
+    seen = stored(rows.groupBy(key, *order).agg(F.count("*").alias("n"), F.min(F.struct(*_ID)).alias("first")).filter("n > 1"), tag)
+    out = stored(seen.repartitionByRange(*order).sortWithinPartitions(*order).select(key, F.monotonically_increasing_id().alias("rank"), "first", "n"), tag)
     forget(seen)
     return out
 
 
+def with_rank(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in names, with rank and first; keys with very many rows are looked up in a broadcast table."""
+    total = names.agg(F.sum("n")).first()[0] or 0
+    return hot_lookup(rows, names, key, "n", total).filter("rank IS NOT NULL").drop("n")
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the text, line number, hash, and where the line begins and ends, for each line."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.split("text", "\n").alias("lines")).filter("doc_id IS NOT NULL AND lines IS NOT NULL")
@@ -45,20 +49,20 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Null and empty texts, and rows without doc_id, give nothing. Repeated rows (doc_id and text) count once. A run and
     its first copy may overlap, as in a document of one line many times.
     """
-    all_lines = lines_of(docs)
-    counts = all_lines.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    now = stored(all_lines.join(counts, "hash").dropDuplicates(_ID), "lines")
-    names = ranked(now, ["hash"], "names")
-    joined = now.join(names, "hash")
-    now = stored(joined.select(*_ID, "rank", F.col("size").cast("long").alias("chars"), F.struct(*_ID).alias("here"), "first"), "suffixes")
+    all_lines = lines_of(docs).withColumn("key", F.col("hash").cast("string"))
+    counts = stored(all_lines.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    seen = hot_lookup(all_lines, counts, "key", "n", counts.agg(F.sum("n")).first()[0] or 0).filter("n > 1").drop("n")
+    now = stored(seen.dropDuplicates(_ID), "lines")
+    named = with_rank(now, ranked(now, "key", ["hash"], "names"), "key")
+    now = stored(named.select(*_ID, "rank", F.col("size").cast("long").alias("chars"), F.struct(*_ID).alias("here"), "first"), "suffixes")
     levels, length = [], 1
     while not now.isEmpty():
         levels.append(now.filter("first < here").select(*_ID, F.lit(length).alias("length"), "chars", "first"))
         after = now.select("doc_id", "digest", (F.col("line") - length).alias("line"), F.col("rank").alias("next"), F.col("chars").alias("more"))
-        pairs = stored(now.select(*_ID, "rank", "chars").join(after, _ID).withColumn("chars", F.col("chars") + F.col("more")).drop("more"), "pairs")
-        names = ranked(pairs.withColumnRenamed("rank", "left"), ["left", "next"], "names")
-        joined = pairs.withColumnRenamed("rank", "left").join(names, ["left", "next"])
-        now = stored(joined.select(*_ID, "rank", "chars", F.struct(*_ID).alias("here"), "first"), "suffixes")
+        both = now.select(*_ID, F.col("rank").alias("left"), "chars").join(after, _ID)
+        pairs = stored(both.select(*_ID, "left", "next", F.concat_ws(" ", "left", "next").alias("key"), (F.col("chars") + F.col("more")).alias("chars")), "pairs")
+        named = with_rank(pairs, ranked(pairs, "key", ["left", "next"], "names"), "key")
+        now = stored(named.select(*_ID, "rank", "chars", F.struct(*_ID).alias("here"), "first"), "suffixes")
         length *= 2
     schema = "doc_id long, digest bigint, line int, length int, chars bigint, first struct<doc_id: bigint, digest: bigint, line: int>"
     copies = docs.sparkSession.createDataFrame([], schema)

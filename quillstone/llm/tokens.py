@@ -10,10 +10,11 @@ import pyarrow as pa
 
 #: Appended to every document.
 END_ID = 1
-#: Pieces that a worker keeps; beyond that it starts afresh.
+#: Pieces that a worker keeps of the last ones seen, and as many of those before.
 CACHE_PIECES = 400_000
 ODD_SPACE = re.compile(r"\s ")
 SAFE_CUT = re.compile(r"(?<=\S)(?= )")
+SPACE = re.compile(r"\s")
 END = array("I", [END_ID]).tobytes()
 
 
@@ -36,31 +37,77 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.drops_space, self.cache = drops_space, {}
+        self.drops_space, self.cache, self.old = drops_space, {"": b""}, {}
+        # what stands between pieces that are encoded together: one token, whatever is beside it
+        self.mark = " \0 " if drops_space else "\n"
+        found = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = found[0] if len(found) == 1 else None
 
     def pieces(self, text: str) -> list[str]:
         if self.drops_space:
-            return text.replace("\n", " ").split(" ")
+            return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").split(" ")
         if "\0" in text or ODD_SPACE.search(text):
             return SAFE_CUT.split(text)
         return text.replace(" ", "\0 ").split("\0")
 
+    def atoms(self, piece: str) -> list[str]:
+        """Parts of a piece that the tokenizers never join: around a lone line feed, and a comma or full stop after a letter."""
+        parts = [piece]
+        if "\n" in piece and not self.drops_space:
+            lines = piece.split("\n")
+            if all(lines) and not any(SPACE.search(x) for x in (lines[0][1:], *lines[1:])) and not lines[0].isspace():
+                parts = [x for line in lines for x in (line, "\n")][:-1]
+        return [x for p in parts for x in ((p[:-1], p[-1]) if p[-1] in ",." and p[-2:-1].lower().isalpha() else (p,))]
+
+    def encode(self, pieces: list[str]) -> None:
+        """Put the ids of these pieces into the cache."""
+        known = self.cache
+        alone = []
+        if self.mark_id is None:
+            alone, pieces = pieces, []
+        at = 0
+        while at < len(pieces):
+            some = []
+            for p in pieces[at : at + 2048]:
+                (alone if "\n" in p or "\0" in p or p[-1].isspace() else some).append(p)
+            at += 2048
+            ids = array("I", self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids)
+            raw, cuts = ids.tobytes(), [-1, *(i for i, x in enumerate(ids) if x == self.mark_id), len(ids)]
+            if len(cuts) != len(some) + 1:
+                alone += some
+                continue
+            for p, first, last in zip(some, cuts, cuts[1:]):
+                known[p] = raw[4 * first + 4 : 4 * last]
+        for k in range(0, len(alone), 2048):
+            for p, found in zip(alone[k : k + 2048], self.tokenizer.encode_batch_fast(alone[k : k + 2048], add_special_tokens=False)):
+                known[p] = array("I", found.ids).tobytes()
+
+    def learn(self, new: set[str]) -> None:
+        known, old = self.cache, self.old
+        new -= known.keys()
+        made, need = {}, set()
+        for p in new:
+            if p in old:
+                known[p] = old[p]
+                continue
+            parts = self.atoms(p)
+            if len(parts) > 1:
+                made[p] = parts
+            need.update(parts)
+        need -= known.keys()
+        self.encode(list(need))
+        for p, parts in made.items():
+            known[p] = b"".join([known[x] for x in parts])
+
     def batch(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
-        known = self.cache
         new = set()
         for x in split:
             new.update(x)
-        new.difference_update(known)
-        if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = {p for x in split for p in x}
-        new = list(new)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = array("I", found.ids).tobytes()
-        get = known.__getitem__
+        if len(self.cache) > CACHE_PIECES:  # the next generation needs all pieces of these texts
+            self.old, self.cache = self.cache, {"": b""}
+        self.learn(new)
+        get = self.cache.__getitem__
         return [b"".join(map(get, x)) + END for x in split]
 
 

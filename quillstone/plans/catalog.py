@@ -1,4 +1,24 @@
-"""All queries of the engine with their SQL."""
+"""All queries of the engine by name, with SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from importlib import import_module
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+for _part in ("company_queries", "series_queries", "text_queries", "usage_queries"):
+    import_module(f"quillstone.plans.{_part}")

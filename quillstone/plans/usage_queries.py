@@ -1,0 +1,73 @@
+"""Usage analytics over the event log, in batch and as a stream."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from quillstone.operators import usage
+from quillstone.plans.adapters import table
+from quillstone.plans.catalog import query
+from quillstone.streaming.usage import event_stream, weekly_stream
+
+KINDS = ["click", "view", "purchase", "signup", "error"]
+WEEK = "strftime(date_trunc('week', ts), '%Y-%m-%d')"
+
+
+@query(f"SELECT {WEEK} AS week, count(*) AS calls, count(DISTINCT user_id) AS users, {', '.join(f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in KINDS)} FROM events GROUP BY 1")
+def usage_weekly(spark, sf):
+    return usage.weekly(table(spark, sf, "events"), KINDS).withColumn("week", F.col("week").cast("string"))
+
+
+@query("""WITH e AS (SELECT *, CAST(date_trunc('week', ts) AS DATE) AS week FROM events), p AS (SELECT week, user_id, count(*) AS n, bool_and(event_type = 'view') AS lo FROM e GROUP BY 1, 2),
+    k AS (SELECT p.*, EXISTS (SELECT 1 FROM events s WHERE s.user_id = p.user_id AND CAST(s.ts AS DATE) < p.week AND CAST(s.ts AS DATE) >= p.week - 21) AS known, (SELECT CAST(min(ts) AS DATE) FROM events) <= p.week - 21 AS whole FROM p)
+    SELECT strftime(week, '%Y-%m-%d') AS week, count(*) AS users, CASE WHEN any_value(whole) THEN count(*) FILTER (NOT known) END AS new_users, max(n) AS most_calls, median(n) AS median_calls, count(*) FILTER (lo) AS list_only FROM k GROUP BY week""")
+def usage_people(spark, sf):
+    return usage.people(table(spark, sf, "events"), "view").withColumn("week", F.col("week").cast("string"))
+
+
+@query("""SELECT user_id, count(*) FILTER (n > 2) AS refused, max(n) AS peak FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY 1""")
+def rate_limit(spark, sf):
+    return usage.over_limit(table(spark, sf, "events"), 3600, 2)
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10")
+def top_user_window(spark, sf):
+    e = table(spark, sf, "events")
+    last = e.agg(F.max("ts").alias("last"))
+    return e.crossJoin(F.broadcast(last)).filter("ts > last - INTERVAL 1 DAY").groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(10)
+
+
+@query("SELECT event_id, user_id, coalesce(n, 0) AS n_then FROM (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS n FROM events) WHERE event_type = 'click'")
+def search_lookup_pairs(spark, sf):
+    return usage.followed(table(spark, sf, "events"), "click", "purchase", 10).select("event_id", "user_id", "n_then")
+
+
+@query("WITH g AS (SELECT user_id, count(*) AS n, arg_max(event_id, (ts, event_id)) AS last_event, arg_max(value, (ts, event_id)) AS v FROM events WHERE event_type <> 'error' GROUP BY 1) SELECT user_id, n, last_event, CASE WHEN v = 0 THEN 'zero' WHEN v < 5 THEN 'low' WHEN n >= 60 THEN 'frequent' END AS kind FROM g WHERE v < 5 OR n >= 60")
+def triage_candidates(spark, sf):
+    return usage.triaged(table(spark, sf, "events").filter("event_type <> 'error'"), "user_id", 5, 60)
+
+
+@query(f"WITH o AS (SELECT {WEEK} AS week, count(*) AS calls FROM events WHERE event_id % 2 = 0 OR ts < TIMESTAMP '2024-01-10' GROUP BY 1), n AS (SELECT {WEEK} AS week, count(*) AS calls FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1) SELECT coalesce(o.week, n.week) AS week, greatest(o.calls, n.calls) AS calls, CASE WHEN n.calls >= o.calls OR o.calls IS NULL THEN 'new' ELSE 'old' END AS taken FROM o FULL JOIN n ON o.week = n.week")
+def weekly_merge(spark, sf):
+    e = table(spark, sf, "events")
+    part = lambda some: usage.weekly(some, []).select(F.col("week").cast("string").alias("week"), "calls")
+    return usage.weekly_merge(part(e.filter("event_id % 2 = 0 OR ts < TIMESTAMP_NTZ '2024-01-10'")), part(e.filter("ts >= TIMESTAMP_NTZ '2024-01-10'")))
+
+
+@query("WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 12 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM s) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n FROM k GROUP BY 1, 2")
+def user_sessions(spark, sf):
+    return usage.sessions(table(spark, sf, "events"), 12 * 3600).select("user_id", "session", "n")
+
+
+@query("SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS calls FROM events GROUP BY 1")
+def streaming_weekly(spark, sf):
+    """The weekly rollup as a stream that takes all files at hand and stops; complete mode keeps one row a week."""
+    batch = table(spark, sf, "events")
+    name = f"weekly_{uuid.uuid4().hex}"
+    files = f"{sf}/events*.parquet"
+    stream = weekly_stream(event_stream(spark, files, batch.schema), "30 days")
+    run = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select(F.date_format("week_start", "yyyy-MM-dd").alias("week"), "calls")

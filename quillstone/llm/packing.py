@@ -26,26 +26,33 @@ class SumOfSquares:
 
     def __init__(self, window: int):
         self.window = window
-        self.counts = np.zeros(window + 1, np.int64)
+        self.counts = [0] * (window + 1)
         self.open: dict[int, list[list]] = {}
+        # by window - level, so that of equals the fullest comes first: what a window more, or one less, adds to the sum
+        self.more = np.ones(window + 1, np.int64)
+        self.more[0] = 0  # a full window is no longer counted
+        self.less = np.full(window + 1, 1 << 60, np.int64)
+        self.less[window] = 0  # a new window is taken from nowhere
+
+    def _count(self, level: int, change: int) -> None:
+        n = self.counts[level] = self.counts[level] + change
+        at = self.window - level
+        self.more[at] = 2 * n + 1
+        self.less[at] = 1 - 2 * n if n else 1 << 60
 
     def put(self, size: int, piece) -> list | None:
         """The window's pieces if that fills it."""
         n = self.window
-        gain = 2 * self.counts[size : n + 1] + 1  # the level that the window goes to, for each h from 0
-        gain[-1] = 0  # full: no longer counted
-        gain[1:] -= 2 * self.counts[1 : n - size + 1] - 1
-        gain[1:][self.counts[1 : n - size + 1] == 0] = np.iinfo(np.int64).max
-        level = len(gain) - 1 - int(np.argmin(gain[::-1]))  # of equals the fullest
+        level = n - size - int((self.more[: n - size + 1] + self.less[size:]).argmin())
         if level:
-            self.counts[level] -= 1
+            self._count(level, -1)
             pieces = self.open[level].pop()
         else:
             pieces = []
         pieces.append(piece)
         if level + size == n:
             return pieces
-        self.counts[level + size] += 1
+        self._count(level + size, 1)
         self.open.setdefault(level + size, []).append(pieces)
         return None
 

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
+from itertools import compress, repeat
+from operator import is_
 
+import numpy as np
 import pyarrow as pa
 
 #: Appended to every document.
 END_ID = 1
 #: Pieces that a worker keeps of the last ones seen, and as many of those before.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 ODD_SPACE = re.compile(r"\s ")
 SAFE_CUT = re.compile(r"(?<=\S)(?= )")
-SPACE = re.compile(r"\s")
 END = array("I", [END_ID]).tobytes()
+LETTERS = frozenset(string.ascii_letters)
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,13 +55,17 @@ class Encoder:
         return text.replace(" ", "\0 ").split("\0")
 
     def atoms(self, piece: str) -> list[str]:
-        """Parts of a piece that the tokenizers never join: around a lone line feed, and a comma or full stop after a letter."""
+        """Parts of a piece that the tokenizers never join: around a lone line feed, and ASCII marks after a letter."""
         parts = [piece]
         if "\n" in piece and not self.drops_space:
-            lines = piece.split("\n")
-            if all(lines) and not any(SPACE.search(x) for x in (lines[0][1:], *lines[1:])) and not lines[0].isspace():
+            lines, words = piece.split("\n"), piece.split()
+            if words[1:] == lines[1:] and len(words) == len(lines) and lines[0] in (words[0], " " + words[0]):
                 parts = [x for line in lines for x in (line, "\n")][:-1]
-        return [x for p in parts for x in ((p[:-1], p[-1]) if p[-1] in ",." and p[-2:-1].lower().isalpha() else (p,))]
+        out = []
+        for p in parts:
+            word = p.rstrip(string.punctuation)
+            out += (word, p[len(word) :]) if len(word) < len(p) and word[-1:].lower().isalpha() else (p,)
+        return out
 
     def encode(self, pieces: list[str]) -> None:
         """Put the ids of these pieces into the cache."""
@@ -67,12 +75,13 @@ class Encoder:
             alone, pieces = pieces, []
         at = 0
         while at < len(pieces):
-            some = []
-            for p in pieces[at : at + 2048]:
-                (alone if "\n" in p or "\0" in p or p[-1].isspace() else some).append(p)
+            part = pieces[at : at + 2048]
+            some = [p for p in part if not ("\n" in p or "\0" in p or p[-1].isspace())]
+            if len(some) < len(part):
+                alone += set(part).difference(some)
             at += 2048
             ids = array("I", self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids)
-            raw, cuts = ids.tobytes(), [-1, *(i for i, x in enumerate(ids) if x == self.mark_id), len(ids)]
+            raw, cuts = ids.tobytes(), [-1, *np.flatnonzero(np.frombuffer(ids, np.uint32) == self.mark_id).tolist(), len(ids)]
             if len(cuts) != len(some) + 1:
                 alone += some
                 continue
@@ -83,32 +92,49 @@ class Encoder:
                 known[p] = array("I", found.ids).tobytes()
 
     def learn(self, new: set[str]) -> None:
+        """Put the ids of pieces that the cache lacks into it, from the generation before where that has them."""
         known, old = self.cache, self.old
-        new -= known.keys()
         made, need = {}, set()
+        if old:
+            again = [p for p in new if p in old]
+            known.update(zip(again, map(old.__getitem__, again)))
+            new.difference_update(again)
+        plain = {p for p in new if p[-1].isalpha() and "\n" not in p}
+        new -= plain
+        atoms = self.atoms
         for p in new:
-            if p in old:
-                known[p] = old[p]
-                continue
-            parts = self.atoms(p)
-            if len(parts) > 1:
-                made[p] = parts
+            if p[-1] in ",." and p[-2:-1] in LETTERS and "\n" not in p:  # the usual case
+                made[p] = parts = p[:-1], p[-1]
+            else:
+                parts = atoms(p)
+                if len(parts) > 1:
+                    made[p] = parts
             need.update(parts)
-        need -= known.keys()
-        self.encode(list(need))
+        need |= plain
+        self.encode([p for p in need if p not in known])
+        get = known.__getitem__
         for p, parts in made.items():
-            known[p] = b"".join([known[x] for x in parts])
+            known[p] = b"".join(map(get, parts))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
-        new = set()
-        for x in split:
-            new.update(x)
-        if len(self.cache) > CACHE_PIECES:  # the next generation needs all pieces of these texts
+        if len(self.cache) > CACHE_PIECES:
             self.old, self.cache = self.cache, {"": b""}
+        get = self.cache.get
+        rows, new = [], set()
+        for text in texts:
+            split = self.pieces(text)
+            ids = list(map(get, split))
+            late = list(compress(range(len(ids)), map(is_, ids, repeat(None))))
+            pieces = list(map(split.__getitem__, late))
+            new.update(pieces)
+            rows.append((ids, late, pieces))
         self.learn(new)
         get = self.cache.__getitem__
-        return [b"".join(map(get, x)) + END for x in split]
+        for ids, late, pieces in rows:
+            for i, found in zip(late, map(get, pieces)):
+                ids[i] = found
+            ids.append(END)
+        return [b"".join(ids) for ids, _, _ in rows]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

@@ -20,25 +20,25 @@ UNKNOWN = 1e-7
 SMOOTH = 0.5
 CACHE_WORDS = 300_000
 #: Distinct words of which a task sums the expected counts at once.
-BATCH_WORDS = 100_000
+BATCH_WORDS = 150_000
 _MUL = np.uint64(0x100000001B3)
 _SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_BITS = 20
+_BITS = 18
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters and of characters beyond ASCII."""
-    return text.lower().translate(LETTERS).split()
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased runs of letters and of characters beyond ASCII, in UTF-8."""
+    return text.lower().encode("utf-8", "replace").translate(LETTERS).split()
 
 
-def stretches(word: str) -> list[str]:
-    word = "▁" + word
-    return [word[i : i + STRETCH] for i in range(0, len(word), STRETCH)]
+def stretches(word: bytes) -> list[str]:
+    text = "▁" + word.decode()
+    return [text[i : i + STRETCH] for i in range(0, len(text), STRETCH)]
 
 
 class Pieces:
-    """A fixed vocabulary of pieces, found by a rolling hash in two tables. Id 0 is none, id 1 a character that is no piece."""
+    """A fixed vocabulary of pieces, found by a rolling hash of their prefixes. Id 0 is none, id 1 a character that is no piece."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -47,9 +47,9 @@ class Pieces:
         names = {model.id_to_piece(i).lower() for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
         self.names = sorted(names)
         self.size = len(self.names) + 2
-        self.longest = min(STRETCH, max(map(len, self.names)))
-        keys = np.array([self._hash(p) for p in self.names], np.uint64)
-        ids = np.arange(2, self.size)
+        known = {self._hash(p[:k]): 0 for p in self.names for k in range(1, len(p) + 1)}
+        known |= {self._hash(p): i for i, p in enumerate(self.names, 2)}
+        keys, ids = np.array(list(known), np.uint64), np.array(list(known.values()), np.int32)
         self.tables = []
         for spread in _SPREAD:
             at = ((keys * spread) >> np.uint64(64 - _BITS)).astype(np.int64)
@@ -60,7 +60,7 @@ class Pieces:
             rest = np.ones(len(keys), bool)
             rest[first] = False
             keys, ids = keys[rest], ids[rest]
-        self.more = dict(zip(keys.tolist(), ids.tolist()))  # what both tables had no room for
+        self.more = dict(zip(keys.tolist(), ids.tolist()))  # what the tables had no room for
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -69,40 +69,52 @@ class Pieces:
             h = (h * int(_MUL) + ord(c) + 1) & (1 << 64) - 1
         return h
 
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(keys.shape, np.int32)
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is a prefix of a piece, the piece's id or 0)."""
+        found, out = np.zeros(len(keys), bool), np.zeros(len(keys), np.int32)
+        left = np.arange(len(keys))
         for spread, full, place in self.tables:
-            at = ((keys * spread) >> np.uint64(64 - _BITS)).astype(np.int64)
-            np.copyto(out, place[at], where=(full[at] == keys) & (place[at] > 0))
-        for key, piece in self.more.items():
-            out[keys == np.uint64(key)] = piece
-        return out
-
-    def lattice(self, words: list[str]) -> list[list[np.ndarray]]:
-        """For words of one length: ids[i][l - 1], the piece ids of the l characters from i."""
+            mine = keys[left]
+            at = ((mine * spread) >> np.uint64(64 - _BITS)).astype(np.int64)
+            there = full[at]
+            same = there == mine
+            found[left[same]] = True
+            out[left[same]] = place[at[same]]
+            left = left[~same & (there != 0)]  # another key has the place: it may be in the next table
+            if not len(left):
+                return found, out
+        for i, key in zip(left.tolist(), keys[left].tolist()):
+            if key in self.more:
+                found[i], out[i] = True, self.more[key]
+        return found, out
+
+    def lattice(self, words: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For words of one length: (from, to, words, ids) of all pieces in them, by their first place."""
         n, size = len(words), len(words[0])
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size).astype(np.uint64) + np.uint64(1)
-        out = []
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size).T.astype(np.uint64) + np.uint64(1)
+        out, everyone = [], np.arange(n)
         for i in range(size):
-            h, row = np.zeros(n, np.uint64), []
-            for length in range(1, min(self.longest, size - i) + 1):
-                h = h * _MUL + chars[:, i + length - 1]
-                found = self.lookup(h)
-                if length == 1:
-                    found[found == 0] = 1
-                row.append(found)
-            out.append(row)
+            alive, h = everyone, np.zeros(n, np.uint64)
+            for end in range(i + 1, size + 1):
+                h = h * _MUL + chars[end - 1][alive]
+                prefix, ids = self.lookup(h)
+                if end == i + 1:
+                    ids[ids == 0] = 1
+                some = ids > 0
+                if some.any():
+                    out.append((i, end, alive[some], ids[some]))
+                if not prefix.any():
+                    break
+                alive, h = alive[prefix], h[prefix]
         return out
 
 
-def forward(lattice, p: np.ndarray) -> np.ndarray:
+def forward(lattice, n: int, size: int, p: np.ndarray) -> np.ndarray:
     """alpha[t]: the probability of the first t characters, summed over all segmentations; p is pieces by languages."""
-    n, size = len(lattice[0][0]), len(lattice)
     alpha = np.zeros((size + 1, n, p.shape[1]))
     alpha[0] = 1
-    for i in range(size):
-        for length, ids in enumerate(lattice[i], 1):
-            alpha[i + length] += alpha[i] * p[ids]
+    for first, end, words, ids in lattice:
+        alpha[end][words] += alpha[first][words] * p[ids]
     return alpha
 
 
@@ -112,22 +124,22 @@ def expected(pieces: Pieces, words: list[str], weight: np.ndarray, p: np.ndarray
     by_size = defaultdict(list)
     for i, w in enumerate(words):
         by_size[len(w)].append(i)
+    parts = []
     for size, all_at in by_size.items():
         for k in range(0, len(all_at), 4096):
-            at = all_at[k : k + 4096]
+            at = np.array(all_at[k : k + 4096])
             lattice = pieces.lattice([words[i] for i in at])
-            alpha = forward(lattice, p)[:, :, 0]
+            alpha = forward(lattice, len(at), size, p)[:, :, 0]
             beta = np.zeros((size + 1, len(at)))
             beta[size] = 1
-            for i in range(size - 1, -1, -1):
-                for length, ids in enumerate(lattice[i], 1):
-                    beta[i] += p[ids, 0] * beta[i + length]
-            for i in range(size):
-                for length, ids in enumerate(lattice[i], 1):
-                    share = alpha[i] * p[ids, 0] * beta[i + length] / alpha[size]
-                    some = np.flatnonzero(share > 0)
-                    for lang in range(weight.shape[1]):
-                        out[:, lang] += np.bincount(ids[some], share[some] * weight[at, lang][some], pieces.size) if len(some) else 0
+            for first, end, some, ids in reversed(lattice):
+                use = p[ids, 0] * beta[end][some]
+                parts.append((ids, at[some], alpha[first][some] * use / alpha[size][some]))
+                beta[first][some] += use
+    if parts:
+        ids, at, share = (np.concatenate(c) for c in zip(*parts))
+        for lang in range(weight.shape[1]):
+            out[:, lang] = np.bincount(ids, share * weight[at, lang], pieces.size)
     return out
 
 
@@ -197,7 +209,7 @@ class Scorer:
         self.pieces, self.p = pieces, p
         self.known, self.rows = {}, np.zeros((1024, p.shape[1]))
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
@@ -214,10 +226,10 @@ class Scorer:
         for part in by_size.values():
             for k in range(0, len(part), 4096):
                 some = part[k : k + 4096]
-                total = forward(self.pieces.lattice([s for _, s in some]), self.p)[-1]
+                total = forward(self.pieces.lattice([s for _, s in some]), len(some), len(some[0][1]), self.p)[-1]
                 np.add.at(self.rows, [i for i, _ in some], np.log(total))
 
-    def score(self, texts: list[list[str]]) -> np.ndarray:
+    def score(self, texts: list[list[bytes]]) -> np.ndarray:
         self.learn(set().union(*texts))
         get = self.known.__getitem__
         return np.array([self.rows[np.fromiter(map(get, w), np.int64, len(w))].sum(0) for w in texts])
@@ -244,7 +256,7 @@ def identify(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 for k in range(0, batch.num_rows, 256):
                     ids, out, texts = batch.column(0)[k : k + 256].to_pylist(), batch.column(1)[k : k + 256].to_pylist(), batch.column(2)[k : k + 256].to_pylist()
                     words = [words_of(t or "") for t in texts]
-                    some = [i for i, w in enumerate(words) if langs and w and any(map(str.isalpha, "".join(w) if not texts[i].isascii() else w[0]))]
+                    some = [i for i, w in enumerate(words) if langs and w and (texts[i].isascii() or any(map(str.isalpha, texts[i])))]
                     found = {}
                     if some:
                         z = scorer.score([words[i] for i in some])

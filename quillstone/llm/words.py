@@ -9,7 +9,8 @@ import xxhash
 
 #: Lower-cases A-Z and turns every other ASCII character that is no letter or digit into a space.
 ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-LETTERS = {c: " " for c in range(128) if chr(c) not in string.ascii_letters}
+#: Turns every ASCII character that is no letter into a space.
+LETTERS = bytes(b if b > 127 or chr(b) in string.ascii_letters else 32 for b in range(256))
 
 
 def spaced_words(text: bytes) -> list[bytes]:

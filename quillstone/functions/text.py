@@ -45,7 +45,7 @@ def containment(a: Column, b: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after . ! ? 。 ！ ？ and at line feeds; blank pieces go."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?。！？])|\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?。！？])|\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def fixed_chunks(text: Column, size: int, overlap: int) -> Column:

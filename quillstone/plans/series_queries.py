@@ -106,9 +106,11 @@ def dispersion_mad(spark, sf):
     return series.dispersion(series_values(spark, sf).filter("freq = 'q'"))
 
 
-@query(f"""WITH {SERIES}, c AS (SELECT org, measure, freq, year, sub, sum(value) AS s FROM sv WHERE seg <> 'all' AND prio = 'all' GROUP BY ALL), p AS (SELECT * FROM sv WHERE seg = 'all' AND prio = 'all')
-    SELECT p.org, p.measure, p.freq, p.year * 100 + p.sub AS period, abs(coalesce(c.s, 0) - p.value) <= greatest(1, 1e-6 * abs(p.value)) AS ok, min(p.year * 100 + p.sub) OVER (PARTITION BY p.org, p.measure, p.freq) AS consistent_from
-    FROM p LEFT JOIN c ON c.org = p.org AND c.measure = p.measure AND c.freq = p.freq AND c.year = p.year AND c.sub = p.sub WHERE p.freq <> 'm'""")
+@query(f"""WITH {SERIES}, v AS (SELECT org || measure || freq AS k, org, measure, freq, seg, year * 100 + sub AS period, value FROM sv WHERE freq <> 'm' AND prio = 'all'),
+    c AS (SELECT k, period, sum(value) AS s, count(*) AS n FROM v WHERE seg <> 'all' GROUP BY 1, 2), span AS (SELECT k, seg, min(period) AS lo, max(period) AS hi FROM v WHERE seg <> 'all' GROUP BY 1, 2),
+    p AS (SELECT v.*, (SELECT count(*) FROM span WHERE span.k = v.k AND v.period BETWEEN lo AND hi) AS due FROM v WHERE seg = 'all'),
+    o AS (SELECT p.*, coalesce(n, 0) >= due AND abs(coalesce(s, 0) - value) <= greatest(1, 1e-6 * abs(value)) AS ok FROM p LEFT JOIN c ON c.k = p.k AND c.period = p.period)
+    SELECT org, measure, freq, period, ok, (SELECT min(x.period) FROM o x WHERE x.k = o.k AND NOT EXISTS (SELECT 1 FROM o y WHERE y.k = x.k AND y.period >= x.period AND NOT y.ok)) AS consistent_from FROM o""")
 def sum_consistency(spark, sf):
     v = series_values(spark, sf).filter("freq <> 'm' AND prio = 'all'").withColumn("period", F.col("year") * 100 + F.col("sub"))
     children = v.filter("seg <> 'all'").select("org", "measure", "freq", "period", F.col("seg").alias("child"), "value")

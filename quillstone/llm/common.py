@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,11 +91,44 @@ def hot_lookup(left: DataFrame, right: DataFrame, key: str, size: str, total: in
     return out.select(*left.columns, *(found[n].alias(n) for n in names))
 
 
+#: Nodes of links that a task joins up at once before it passes them on.
+FOREST_NODES = 1_000_000
+
+
+def local_forest(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the same nodes as edges do: each task replaces those that it reads by stars."""
+
+    def run(batches):
+        above = {}
+
+        def top(x):
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = x = above[up]
+            return x
+
+        def stars():
+            ids = [x for x in above if top(x) != x]
+            return pa.RecordBatch.from_arrays([pa.array([top(x) for x in ids], pa.int64()), pa.array(ids, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = top(a), top(b)
+                above[max(a, b)] = min(a, b)
+            if len(above) > FOREST_NODES:
+                yield stars()
+                above.clear()
+        if above:
+            yield stars()
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """(id, component): for each node of edges (a, b), the smallest node that it reaches.
 
-    Alternates the large-star and small-star steps on DataFrames; every round is stored in the shared folder. The
-    joins are plain equi-joins, whose skewed partitions adaptive execution splits.
+    Each task first joins up the links that it reads; then the large-star and small-star steps alternate on DataFrames,
+    and every round is stored in the shared folder. The joins are plain equi-joins, whose skewed partitions adaptive
+    execution splits.
     """
 
     def least(e: DataFrame) -> DataFrame:
@@ -103,18 +137,21 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     def joined(e: DataFrame) -> DataFrame:
         return e.join(least(e), F.col("u") == F.col("k"))
 
-    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
-    mark = None
-    while True:
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+    now = local_forest(edges.filter("a <> b").select("a", "b"))
+    now = stored(now.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), tag)
+    mark = state(now)
+    while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = joined(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         pairs = joined(large)
         small = pairs.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(pairs.select("u", F.col("m").alias("v"))).distinct()
         new = stored(small, tag)
-        row = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        last, mark = mark, state(new)
         forget(now)
         now = new
-        if tuple(row) == mark or not row[0]:
+        if mark == last:
             break
-        mark = tuple(row)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct()

@@ -91,12 +91,13 @@ def hot_lookup(left: DataFrame, right: DataFrame, key: str, size: str, total: in
     return out.select(*left.columns, *(found[n].alias(n) for n in names))
 
 
-#: Nodes of links that a task joins up at once before it passes them on.
-FOREST_NODES = 1_000_000
+#: Links that a task is given to join up before the rounds; it holds at most as many nodes at once.
+FOREST_LINKS = 500_000
 
 
 def local_forest(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) that join the same nodes as edges do: each task replaces those that it reads by stars."""
+    """Edges (a, b) that join the same nodes as edges, a stored table, do: each task replaces those it reads by stars."""
+    tasks = -(-edges.count() // FOREST_LINKS)
 
     def run(batches):
         above = {}
@@ -114,13 +115,13 @@ def local_forest(edges: DataFrame) -> DataFrame:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 a, b = top(a), top(b)
                 above[max(a, b)] = min(a, b)
-            if len(above) > FOREST_NODES:
+            if len(above) > FOREST_LINKS:
                 yield stars()
                 above.clear()
         if above:
             yield stars()
 
-    return edges.mapInArrow(run, "a long, b long")
+    return edges.coalesce(max(1, tasks)).mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:

@@ -20,12 +20,16 @@ HASHES = 128
 TREES, DEPTH, SHARED = 24, 8, 3
 #: Neighbours on either side that a document is compared with in each order.
 WINDOW = 3
-#: Neighbours in the second search, of documents whose first candidates weren't all confirmed, in other groups alone.
-WIDE_WINDOW = 256
+#: Documents on each side of one comparison of a region deeper than the window, and of those one slice.
+BLOCK, SLICE = 4096, 64
+#: Of a document's candidates in a slice so many are tried at first, then GROWTH times as many, until none is left out.
+FIRST_TRY, GROWTH = 2, 16
 #: Of 128 four-bit hashes so many must agree for a pair to be a candidate; at similarity 0.75 fewer are 4.5 standard deviations away.
 AGREE = 76
 #: Rounds in which each group tries its best candidate only; then all candidates between groups are confirmed.
 BEST_ROUNDS = 1
+#: Shingles of texts that a task keeps for further pairs of the same documents.
+SETS_HELD = 4_000_000
 #: Up to so many ids (of 8 bytes) are broadcast to pick texts; beyond, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 FACTORS = odd_numbers(HASHES, 3)
@@ -131,12 +135,6 @@ def neighbours(rows: DataFrame, window: int = WINDOW) -> DataFrame:
             near = agree >= AGREE
             out.append((np.minimum(ids[i], ids[j])[near], np.maximum(ids[i], ids[j])[near], agree[near]))
         a, b, agree = (np.concatenate(c) for c in zip(*out))
-        if window > WINDOW and len(a):  # of each document the best alone: candidates grow with the documents, not their pairs
-            keep = np.zeros(len(a), bool)
-            for end in (a, b):
-                order = np.lexsort((-agree, end))
-                keep[order[np.r_[True, end[order][1:] != end[order][:-1]]]] = True
-            a, b, agree = a[keep], b[keep], agree[keep]
         return a, b, agree
 
     def unpack(batch):
@@ -198,16 +196,29 @@ def candidates(classes: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; a document is in a bounded number of pairs."""
+    """The pairs (a, b) whose full shingle sets are similar enough."""
 
     def run(batches):
-        hashes = Hashes()
+        hashes, sets, held = Hashes(), {}, 0
+
+        def set_of(i, text):
+            nonlocal held
+            if i not in sets:
+                if held > SETS_HELD:
+                    sets.clear()
+                    held = 0
+                sets[i] = shingle_set(hashes.of(spaced_words(text.as_py())))
+                held += len(sets[i])
+            return sets[i]
+
         for batch in batches:
-            keep, last, mine = [], None, None
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if a != last:
-                    last, mine = a, shingle_set(hashes.of(spaced_words(x.as_py())))
-                other = shingle_set(hashes.of(spaced_words(y.as_py())))
+            keep = []
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                mine, other = set_of(a, x), set_of(b, y)
+                low, high = sorted((len(mine), len(other)))
+                if 100 * low < percent * high:  # even if one held the other
+                    keep.append(False)
+                    continue
                 shared = len(np.intersect1d(mine, other, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(mine) + len(other) - shared) > 0)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
@@ -227,15 +238,127 @@ def labelled(pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
     return pairs
 
 
-def settled(rest: DataFrame, texts: DataFrame, groups: DataFrame | None):
-    """(groups, failed) after the candidates rest (a, b, agree) between different groups.
+_DEEP = pa.schema([("tree", pa.int32()), ("region", pa.int64()), ("id", pa.int64()), ("sketch", pa.binary()), ("half", pa.binary())])
+
+
+def regions_of(classes: DataFrame, full: bool) -> DataFrame:
+    """(tree, region, id) for each class and order; with full also its sketch and the hashes of its regions in all orders."""
+
+    def run(batches):
+        places = np.arange(TREES)[:, None] * (HASHES // TREES) + np.arange(SHARED)[None, :]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                ids = np.array(batch.column(0)[at : at + 2000].to_pylist(), np.int64)
+                signs = np.frombuffer(b"".join(batch.column(1)[at : at + 2000].to_pylist()), "<u4").reshape(len(ids), HASHES)
+                half = (signs[:, places] & 0xFFFF).astype(np.int64)  # class, tree, depth
+                region = half[:, :, 0]
+                for k in range(1, SHARED):
+                    region = region << 16 | half[:, :, k]
+                columns = [pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(ids))), pa.array(region.ravel()), pa.array(np.repeat(ids, TREES))]
+                if full:
+                    where = pa.array(np.repeat(np.arange(len(ids)), TREES))
+                    nibbles = (signs >> 16 & 15).astype(np.uint8)
+                    sketch = pa.array([x.tobytes() for x in nibbles[:, ::2] << 4 | nibbles[:, 1::2]], pa.binary())
+                    columns += [sketch.take(where), pa.array([x.tobytes() for x in half.astype("<u2")], pa.binary()).take(where)]
+                yield pa.RecordBatch.from_arrays(columns, _DEEP.names[: len(columns)])
+
+    return classes.select("id", "signature").mapInArrow(run, "tree int, region long, id long" + ", sketch binary, half binary" * full)
+
+
+def deep_pairs(classes: DataFrame, deep: DataFrame, groups: DataFrame | None, keep: int) -> DataFrame:
+    """(a, b, agree): candidates between groups in the regions deep (tree, region, id), each found in one order.
+
+    All rows of a region meet: it is cut into blocks by a hash of the id, and each pair of blocks is compared in one
+    place, so that no task holds more than two blocks. The region's largest group has blocks of its own, which aren't
+    compared with each other. Of the candidates in a slice of a block the keep best of each document are given; a row
+    with a null says how many others there are.
+    """
+    named = deep.withColumn("grp", F.col("id"))
+    if groups is not None:
+        named = deep.join(groups, "id", "left").select("tree", "region", "id", F.coalesce("component", "id").alias("grp"))
+    sizes = named.groupBy("tree", "region", "grp").agg(F.count("*").alias("n")).groupBy("tree", "region")
+    sizes = sizes.agg(F.sum("n").alias("n"), F.max(F.struct("n", "grp")).alias("top")).filter("n > top.n")
+    blocks = sizes.select("tree", "region", F.col("top.grp").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("mine"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("others"))
+    at = stored(named.join(blocks, ["tree", "region"]), "deep-blocks")
+    picked = classes.join(at.select("id").distinct(), "id", "left_semi")
+    rows = regions_of(picked, True).join(at, ["tree", "region", "id"])
+    spread = F.xxhash64("id")
+    block = F.when(F.col("grp") == F.col("top"), F.pmod(spread, "mine")).otherwise(F.col("mine") + F.pmod(spread, "others"))
+    rows = rows.withColumn("block", block).withColumn("end", F.col("mine") + F.col("others") - 1)
+    own = F.col("block") < F.col("mine")
+    # the top group's blocks meet the others' alone
+    rows = rows.withColumn("other", F.explode(F.when(own, F.sequence("mine", "end")).otherwise(F.sequence(F.lit(0).cast("long"), "end"))))
+    rows = rows.select("tree", "region", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "grp", "sketch", "half")
+    key = ["tree", "region", "left", "right"]
+
+    def compare(tree, same, x, y):
+        """Candidates of the rows x with the rows y, in slices; same: they are the same rows."""
+        low = np.uint64(0x1111111111111111)
+        for at in range(0, len(x[0]), SLICE):
+            ids, grp, words, half = (c[at : at + SLICE] for c in x)
+            differ = np.zeros((len(ids), len(y[0])), np.uint8)
+            for w in range(words.shape[1]):
+                d = words[:, w, None] ^ y[2][None, :, w]
+                d |= d >> np.uint64(1)
+                d |= d >> np.uint64(2)
+                differ += np.bitwise_count(d & low)
+            near = (differ <= HASHES - AGREE) & (grp[:, None] != y[1][None, :])
+            if same:
+                near &= np.arange(at, at + len(ids))[:, None] < np.arange(len(y[0]))[None, :]
+            i, j = np.nonzero(near)
+            if tree and len(i):  # pairs that meet in an earlier order are found there
+                step = max(1, (1 << 22) // (tree * SHARED))
+                met = [(half[i[k : k + step], :tree] == y[3][j[k : k + step], :tree]).all(2).any(1) for k in range(0, len(i), step)]
+                i, j = i[~np.concatenate(met)], j[~np.concatenate(met)]
+            if not len(i):
+                continue
+            agree, chosen = HASHES - differ[i, j].astype(np.int32), np.zeros(len(i), bool)
+            for end in (i, j):
+                order = np.lexsort((-agree, end))
+                starts = np.flatnonzero(np.r_[True, end[order][1:] != end[order][:-1]])
+                place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+                chosen[order[place < keep]] = True
+            a, b, agree = ids[i[chosen]], y[0][j[chosen]], agree[chosen]
+            a, b, rest = np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), int((~chosen).sum())
+            none = [None] * (rest > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(a + none, pa.int64()), pa.array(b + none, pa.int64()), pa.array(agree.tolist() + [rest] * len(none), pa.int64())], ["a", "b", "agree"])
+
+    def flush(place, parts):
+        block, ids, grp, words, half = (np.concatenate(c) for c in zip(*parts))
+        sides = [tuple(c[block == k] for c in (ids, grp, words, half)) for k in place[2:]]
+        yield from compare(place[0], place[2] == place[3], *sides)
+
+    def run(batches):
+        place, parts = None, []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = np.stack([np.array(c).astype(np.int64) for c in batch.columns[:4]])
+            columns = [np.array(c) for c in batch.columns[4:7]]
+            columns.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(n, -1))
+            columns.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), "<u2").reshape(n, TREES, SHARED))
+            cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, n]
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                now = tuple(keys[:, lo].tolist())
+                if parts and now != place:
+                    yield from flush(place, parts)
+                    parts = []
+                place = now
+                parts.append([c[lo:hi] for c in columns])
+        if parts:
+            yield from flush(place, parts)
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, agree long")
+
+
+def settled(rest: DataFrame, texts: DataFrame, groups: DataFrame | None) -> DataFrame | None:
+    """Groups after the candidates rest (a, b, agree) between different groups; None if there is no group yet.
 
     As in Boruvka's algorithm each group at first tries its best candidate only, so that large groups of copies join
     after few comparisons; candidates within one group need no comparison any more. Those that are left between
-    different groups are all confirmed, so no candidate is given up. failed has the pairs (a, b) of former groups that
-    were compared, some of which may be in one group now; both are None without candidates.
+    different groups are all confirmed, so no candidate is given up.
     """
-    failed = None
     for turn in range(BEST_ROUNDS + 1):
         rest = stored(labelled(rest.select("a", "b", "agree"), groups).filter("ca <> cb"), "rest")
         if rest.isEmpty():
@@ -244,38 +367,50 @@ def settled(rest: DataFrame, texts: DataFrame, groups: DataFrame | None):
             edge = F.struct("agree", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
             best = rest.select(F.col("ca").alias("c"), edge.alias("e")).union(rest.select("cb", edge)).groupBy("c").agg(F.max("e").alias("e"))
             some = stored(best.select((-F.col("e.a")).alias("a"), (-F.col("e.b")).alias("b")).distinct(), "tried")
-            compared = some
         else:
             some = rest.select("a", "b")
-            compared = rest.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        failed = compared if failed is None else failed.union(compared)
         found = stored(confirmed(some, texts), "links")
         if groups is not None:  # the groups so far, as stars
             found = found.union(groups.select(F.col("component").alias("a"), F.col("id").alias("b")))
         groups = stored(components(found, "groups"), "groups")
         if turn < BEST_ROUNDS:
             rest = rest.join(some, ["a", "b"], "left_anti")
-    return groups, failed
+    return groups
 
 
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, component) of classes that are linked with others.
 
-    In a dense region many documents that are nearly similar enough may stand between two that are. So groups between
-    which a candidate failed are searched once more, with a wide window that looks at members of other groups alone:
-    after the first search most rows of such a region are in one group, and cost no comparison.
+    The first search compares neighbours alone, and joins most of a dense region. Then in all regions deeper than its
+    window every row is compared with those of the other groups; the best candidates are tried first, and rounds end
+    when all that are left between groups have been confirmed.
     """
-    first = stored(candidates(classes), "candidates")
-    nodes = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
-    picked = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary")).join(picked, "id"), "texts")
-    groups, failed = settled(first, texts, None)
-    if groups is not None:
-        failed = stored(labelled(failed.distinct(), groups).filter("ca <> cb").select(F.explode(F.array("ca", "cb")).alias("grp")).distinct(), "failed")
-        of = nodes.join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
-        again = classes.select("id", "signature").join(of.join(failed, "grp"), "id")
-        groups, _ = settled(candidates(again, WIDE_WINDOW).join(first, ["a", "b"], "left_anti"), texts, groups)
-    forget(texts)
+
+    def settle(pairs, groups):
+        nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        picked = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+        texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary")).join(picked, "id"), "texts")
+        groups = settled(pairs, texts, groups)
+        forget(texts)
+        return groups
+
+    tried = stored(candidates(classes), "candidates").select("a", "b", F.col("agree").cast("long"))
+    groups = settle(tried, None)
+    everywhere = regions_of(classes, False)
+    depth = everywhere.groupBy("tree", "region").agg(F.count("*").alias("n")).filter(F.col("n") > WINDOW + 1).drop("n")
+    deep = stored(everywhere.join(depth, ["tree", "region"]), "deep")
+    keep = FIRST_TRY
+    while True:
+        found = stored(deep_pairs(classes, deep, groups, keep), "deep-pairs")
+        left_out = found.filter("a IS NULL").count()
+        more = stored(found.filter("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "more")
+        forget(found)
+        if not more.isEmpty():
+            groups = settle(more, groups)
+            tried = tried.union(more)
+        if not left_out:
+            break
+        keep *= GROWTH
     return groups if groups is not None else docs.sparkSession.createDataFrame([], "id long, component long")
 
 

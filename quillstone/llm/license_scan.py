@@ -28,7 +28,7 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
 )
-#: Share of a template's distinct words that a block (a line) must have.
+#: Share of a template's distinct words that a block (a line, or a window of words as below) must have.
 CONTAINMENT = 0.8
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("blocks", pa.int64())])
 _DDL = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks long"
@@ -40,11 +40,13 @@ class Templates:
     def __init__(self, templates, frequency: dict[bytes, int], containment: float):
         words = {w for _, t in templates for w in alnum_words(t.encode())}
         self.order = {w: i for i, w in enumerate(sorted(words, key=lambda w: (frequency.get(w, 0), w)))}
-        self.sets, self.prefix = [], {}
+        self.sets, self.prefix, self.windows = [], {}, []
         for k, (label, text) in enumerate(templates):
             mine = sorted({self.order[w] for w in alnum_words(text.encode())})
             need = math.ceil(containment * len(mine) - 1e-9)
             self.sets.append((label, mine, need))
+            # a window has room for the template with as many other words as may be missing
+            self.windows.append((frozenset(alnum_words(text.encode())), math.ceil(len(alnum_words(text.encode())) / containment)))
             for i in range(len(mine) - need + 1):
                 self.prefix.setdefault(mine[i], []).append((k, i))
         back = {i: w for w, i in self.order.items()}
@@ -70,6 +72,33 @@ class Templates:
                     out.append((label, shared / len(mine)))
         return out
 
+    def stretches(self, words: list[bytes]) -> list[tuple[str, float, int, int]]:
+        """(label, containment, first, stop) of each stretch of overlapping windows that have enough of a template; windows begin at every word."""
+        present, out = set(words), []
+        for (label, mine, need), (wanted, width) in zip(self.sets, self.windows):
+            if len(wanted & present) < need:
+                continue
+            places = [k for k, w in enumerate(words) if w in wanted]
+            counts, left, best, now = {}, 0, 0, None
+            for at in places:
+                counts[words[at]] = counts.get(words[at], 0) + 1
+                while at - places[left] >= width:
+                    gone = words[places[left]]
+                    counts[gone] -= 1
+                    if not counts[gone]:
+                        del counts[gone]
+                    left += 1
+                if len(counts) >= need:
+                    if now and places[left] < now[1]:
+                        now, best = (now[0], at + 1), max(best, len(counts))
+                    else:
+                        if now:
+                            out.append((label, best / len(mine), *now))
+                        now, best = (places[left], at + 1), len(counts)
+            if now:
+                out.append((label, best / len(mine), *now))
+        return out
+
 
 def word_counts(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
     """How often each of these words stands in all texts; one row a word and task is shuffled."""
@@ -92,8 +121,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks for each row of docs.
 
     Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased; null is empty. Blocks
-    are lines. score is the largest containment of a template in a block if it reaches the threshold, else 0; blocks
-    counts the blocks with a match. No label is an empty string. Repeated rows give repeated results.
+    are lines, and windows of words about as long as a template, so that notices wrapped over lines are found. score is
+    the largest containment of a template in a block if it reaches the threshold, else 0; blocks counts the lines with a
+    match and the stretches of overlapping windows that touch no such line. No label is an empty string. Repeated rows
+    give repeated results.
     """
     counts = word_counts(docs, {w for _, t in templates for w in alnum_words(t.encode())})
     index = Templates(templates, counts, containment)
@@ -111,11 +142,23 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
                             starts.append(first)
                             base.add(label)
         if not index.prefix_words.isdisjoint(words):
+            at, lines = 0, []
             for line in text.split(b"\n"):
-                if found := index.matches(alnum_words(line)):
-                    blocks += 1
+                mine = alnum_words(line)
+                if found := index.matches(mine):
+                    lines.append((at, at + len(mine)))
                     more.update(label for label, _ in found)
                     score = max(score, *(s for _, s in found))
+                at += len(mine)
+            blocks, merged = len(lines), []
+            for label, share, first, stop in sorted(index.stretches(words), key=lambda s: s[2]):
+                more.add(label)
+                score = max(score, share)
+                if merged and first < merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], stop)
+                else:
+                    merged.append([first, stop])
+            blocks += sum(all(stop <= lo or hi <= first for lo, hi in lines) for first, stop in merged)
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score, blocks
 
     def run(batches):

@@ -313,6 +313,23 @@ def test_license_scan(spark):
 # --- decontamination
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    import textwrap
+
+    from quillstone.llm.license_scan import TEMPLATES
+
+    rows, want = [], {}
+    for k, label in enumerate(("mit", "bsd", "lgpl", "isc", "mpl")):
+        text = max((t for lab, t in TEMPLATES if lab == label), key=len)
+        rows.append((k, "Head of a file\n" + "\n".join(" * " + x for x in textwrap.wrap(text, 45)) + "\nint main"))
+        want[k] = label
+    rows.append((9, "Redistribution and use\nof nothing else in source"))
+    got = {r.doc_id: r for r in scan(frame(spark, rows)).collect()}
+    for k, label in want.items():
+        assert label in got[k].labels.split(",") and got[k].score == 1.0 and got[k].blocks == 1
+    assert (got[9].labels, got[9].score, got[9].blocks) == ("", 0.0, 0)
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]

@@ -19,10 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores before it as keep it apart from the columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where all is one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = f"file://{tempfile.mkdtemp(prefix='quillstone-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -80,15 +93,16 @@ def hot_lookup(left: DataFrame, right: DataFrame, key: str, size: str, total: in
     table; the others meet in a shuffled join, in which no key has more than that share of the rows.
     """
     names = [c for c in right.columns if c != key]
-    hot = right.filter(F.col(size) * HOT_SHARE > total).select(F.col(key).alias("_k"), F.struct(*names).alias("_hot"))
-    rest = right.filter(F.col(size) * HOT_SHARE <= total).select(F.col(key).alias("_r"), F.struct(*names).alias("_rest"))
-    out = left.join(F.broadcast(hot), left[key] == F.col("_k"), "left")
-    # hot rows have been found: keys that match nothing spread them in the second join
-    own = F.concat(F.lit("\0"), F.xxhash64(*left.columns).cast("string"))
-    out = out.withColumn("_l", F.when(F.col("_k").isNull(), F.col(key)).otherwise(own))
-    out = out.join(rest, F.col("_l") == F.col("_r"), "left")
-    found = F.coalesce(F.col("_hot"), F.col("_rest"))
-    return out.select(*left.columns, *(found[n].alias(n) for n in names))
+    k, r, l, hot_, rest_ = unused(left, "k", "r", "l", "hot", "rest")
+    hot = right.filter(F.col(size) * HOT_SHARE > total).select(F.col(key).alias(k), F.struct(*names).alias(hot_))
+    rest = right.filter(F.col(size) * HOT_SHARE <= total).select(F.col(key).alias(r), F.struct(*names).alias(rest_))
+    out = left.join(F.broadcast(hot), left[key] == F.col(k), "left")
+    # hot rows have been found, and null keys find nothing: keys that match nothing spread them in the second join
+    own = F.concat(F.lit("\0"), F.xxhash64(*(F.col(f"`{c}`") for c in left.columns)).cast("string"))
+    out = out.withColumn(l, F.when(F.col(k).isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(own))
+    out = out.join(rest, F.col(l) == F.col(r), "left")
+    found = F.coalesce(F.col(hot_), F.col(rest_))
+    return out.select(*(F.col(f"`{c}`") for c in left.columns), *(found[n].alias(n) for n in names))
 
 
 #: Links that a task is given to join up before the rounds; it holds at most as many nodes at once.

@@ -147,38 +147,26 @@ def test_near_duplicates_edges(spark):
 
 
 def brute_runs(rows, min_chars):
-    docs = sorted({(i, t): None for i, t in rows if i is not None and t is not None}, key=lambda d: d[0])
-    seqs = {i: t.split("\n") for i, t in docs}
-    places = [(i, k) for i in sorted(seqs) for k in range(len(seqs[i]))]
+    """For each place the longest run that also begins at an earlier place, by comparing all pairs of places line by line."""
+    docs = dict(sorted({(i, t): None for i, t in rows if i is not None and t is not None}, key=lambda d: d[0]))
+    seqs = {i: t.split("\n") for i, t in docs.items()}
+    places = [(i, k) for i in seqs for k in range(len(seqs[i]))]
     longest = {}
-    size = 1
-    while True:
-        first, new = {}, False
-        for i, k in places:
-            if k + size <= len(seqs[i]):
-                key = tuple(seqs[i][k : k + size])
-                if key in first:
-                    longest[i, k] = (size, first[key])
-                    new = True
-                else:
-                    first[key] = (i, k)
-        if not new:
-            break
-        size *= 2
+    for at, (i, k) in enumerate(places):
+        best = (0, None)
+        for j, m in places[:at]:
+            n = 0
+            while k + n < len(seqs[i]) and m + n < len(seqs[j]) and seqs[i][k + n] == seqs[j][m + n]:
+                n += 1
+            if n > best[0]:
+                best = (n, (j, m))
+        longest[i, k] = best
     runs = []
-    by_line = {}
-    for (i, k), (n, (j, m)) in sorted(longest.items()):
-        by_line.setdefault((i, j, k - m), []).append((k, n))
-    for (i, j, shift), parts in by_line.items():
-        now = None
-        for k, n in parts:
-            if now and k <= now[1]:
-                now[1] = max(now[1], k + n)
-            else:
-                now and runs.append((i, now[0], now[1] - now[0], j, now[0] - shift))
-                now = [k, k + n]
-        runs.append((i, now[0], now[1] - now[0], j, now[0] - shift))
-    return sorted(r for r in runs if sum(map(len, seqs[r[0]][r[1] : r[1] + r[2]])) >= min_chars)
+    for (i, k), (n, source) in longest.items():
+        before = longest.get((i, k - 1), (0, None))[0] + k - 1
+        if n and k + n > max(before, k) and sum(map(len, seqs[i][k : k + n])) >= min_chars:
+            runs.append((i, k, n, *source))
+    return sorted(runs)
 
 
 def test_line_runs_are_those_of_brute_force(spark):
@@ -186,11 +174,21 @@ def test_line_runs_are_those_of_brute_force(spark):
     lines = ["".join(rng.choices("abc ", k=12)) for _ in range(25)]
     rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(0, 14)))) for i in range(60)]
     rows += [(60 + i, rows[i][1]) for i in range(10)] + [(99, "x\n" * 9), (100, None), (101, "")]
+    rows += [(200 + i, "\n".join(rng.choices("pq", k=30))) for i in range(5)]
     got = repeated_runs(frame(spark, rows + rows[:3]), 20).collect()
     assert sorted((r.doc_id, r.start_line, r.n_lines, r.source_doc_id, r.source_line) for r in got) == brute_runs(rows, 20)
 
 
+def test_an_earlier_part_of_a_run_hides_nothing(spark):
+    a, b, c = "aaaaaaaaaaaaaaa", "bbbbbbbbbbbbbbb", "ccccccccccccccc"
+    got = repeated_runs(frame(spark, [(1, f"{b}\n{c}"), (2, f"{a}\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}")])).collect()
+    assert [tuple(r) for r in got] == [(3, 0, 3, 45, 2, 0)]
+
+
 def test_line_dedup_edges(spark):
+    clash = frame(spark, [(1, "a line\nx", 1, 2, 3), (2, "a line\ny", 4, 5, 6)], DOC + ", _id int, __id int, _runs int")
+    out = without_repeated_lines(clash, 5).orderBy("doc_id")
+    assert out.columns == clash.columns and [tuple(r) for r in out.collect()] == [(1, "a line\nx", 1, 2, 3), (2, "y", 4, 5, 6)]
     assert repeated_runs(frame(spark, [])).count() == 0
     rows = [(1, "a common line\nown", "p"), (2, "other\na common line", "q"), (3, None, "r")]
     out = without_repeated_lines(frame(spark, rows, DOC + ", line string"), 5).orderBy("doc_id").collect()

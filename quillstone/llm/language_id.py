@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,8 @@ from .common import remainder
 from .tokens import record_batches, tokenizer_path
 from .words import LETTERS
 
-#: Longer words are scored in stretches of so many characters.
-STRETCH = 32
+#: Characters of words that are summed at once, and steps after which sums are scaled, far from what a double can't hold.
+LATTICE_CHARS, SCALE_STEPS = 400_000, 16
 #: Probability of a character that is no piece.
 UNKNOWN = 1e-7
 SMOOTH = 0.5
@@ -32,9 +32,8 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(LETTERS).split()
 
 
-def stretches(word: bytes) -> list[str]:
-    text = "▁" + word.decode()
-    return [text[i : i + STRETCH] for i in range(0, len(text), STRETCH)]
+def marked(word: bytes) -> str:
+    return "▁" + word.decode()
 
 
 class Pieces:
@@ -47,6 +46,7 @@ class Pieces:
         names = {model.id_to_piece(i).lower() for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
         self.names = sorted(names)
         self.size = len(self.names) + 2
+        self.longest = max(map(len, self.names))
         known = {self._hash(p[:k]): 0 for p in self.names for k in range(1, len(p) + 1)}
         known |= {self._hash(p): i for i, p in enumerate(self.names, 2)}
         keys, ids = np.array(list(known), np.uint64), np.array(list(known.values()), np.int32)
@@ -88,58 +88,96 @@ class Pieces:
                 found[i], out[i] = True, self.more[key]
         return found, out
 
-    def lattice(self, words: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """For words of one length: (from, to, words, ids) of all pieces in them, by their first place."""
-        n, size = len(words), len(words[0])
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size).T.astype(np.uint64) + np.uint64(1)
-        out, everyone = [], np.arange(n)
-        for i in range(size):
-            alive, h = everyone, np.zeros(n, np.uint64)
-            for end in range(i + 1, size + 1):
-                h = h * _MUL + chars[end - 1][alive]
-                prefix, ids = self.lookup(h)
-                if end == i + 1:
-                    ids[ids == 0] = 1
-                some = ids > 0
-                if some.any():
-                    out.append((i, end, alive[some], ids[some]))
-                if not prefix.any():
-                    break
-                alive, h = alive[prefix], h[prefix]
-        return out
-
-
-def forward(lattice, n: int, size: int, p: np.ndarray) -> np.ndarray:
-    """alpha[t]: the probability of the first t characters, summed over all segmentations; p is pieces by languages."""
-    alpha = np.zeros((size + 1, n, p.shape[1]))
+    def lattice(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """(word, first place, length, id) of all pieces in the words, in four arrays."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        word = np.repeat(np.arange(len(words)), sizes)
+        begins = np.cumsum(sizes) - sizes
+        stop = (begins + sizes)[word]
+        at, h, found = np.arange(len(chars)), np.zeros(len(chars), np.uint64), []
+        for length in range(1, self.longest + 1):
+            h = h * _MUL + chars[at + length - 1]
+            prefix, ids = self.lookup(h)
+            if length == 1:
+                ids[ids == 0] = 1
+            some = ids > 0
+            found.append((at[some], np.full(int(some.sum()), length), ids[some]))
+            prefix &= at + length < stop[at]
+            at, h = at[prefix], h[prefix]
+            if not len(at):
+                break
+        at, length, ids = (np.concatenate(c) for c in zip(*found))
+        return word[at], at - begins[word[at]], length, ids
+
+
+def summed(word: np.ndarray, step: np.ndarray, length: np.ndarray, ids: np.ndarray, sizes: np.ndarray, p: np.ndarray, longest: int):
+    """(totals, logs): sums over all ways to reach step t of a word by pieces that end there, as logarithms.
+
+    p is pieces by languages. totals has those of the words' ends, logs those of every step of every word, for the first
+    language. Only the last steps that a piece can reach back to are held, and they are scaled as they shrink.
+    """
+    n, langs, ring = len(sizes), p.shape[1], longest + 1
+    order = np.lexsort((word, step))
+    word, step, length, ids = word[order], step[order], length[order], ids[order]
+    bounds = np.searchsorted(step, np.arange(int(sizes.max(initial=0)) + 2))
+    alpha, scale, totals = np.zeros((ring, n, langs)), np.zeros((n, langs)), np.zeros((n, langs))
     alpha[0] = 1
-    for first, end, words, ids in lattice:
-        alpha[end][words] += alpha[first][words] * p[ids]
-    return alpha
+    begins = np.cumsum(sizes + 1) - (sizes + 1)
+    logs = np.zeros(int((sizes + 1).sum()))
+    for t in range(1, len(bounds) - 1):
+        some = slice(bounds[t], bounds[t + 1])
+        w = word[some]
+        if not len(w):
+            break
+        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        here = w[first]
+        now = np.add.reduceat(alpha[(t - length[some]) % ring, w] * p[ids[some]], first)
+        alpha[t % ring, here] = now
+        log = np.log(now) + scale[here]
+        logs[begins[here] + t] = log[:, 0]
+        ends = sizes[here] == t
+        totals[here[ends]] = log[ends]
+        if t % SCALE_STEPS == 0:
+            alpha[:, here] /= now
+            scale[here] = log
+    return totals, logs
+
+
+def parts_of(words: list[str]):
+    """Indices of words, the shortest first, in parts of at most LATTICE_CHARS characters, or of one word."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    part = np.cumsum(sizes[order]) // LATTICE_CHARS
+    return np.split(order, np.flatnonzero(np.diff(part)) + 1) if len(order) else []
+
+
+def log_probabilities(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
+    """Of each word the logarithm of its probability in each language, summed over all segmentations of the whole word."""
+    out = np.zeros((len(words), p.shape[1]))
+    for at in parts_of(words):
+        some = [words[i] for i in at]
+        word, first, length, ids = pieces.lattice(some)
+        sizes = np.fromiter(map(len, some), np.int64, len(some))
+        out[at] = summed(word, first + length, length, ids, sizes, p, pieces.longest)[0]
+    return out
 
 
 def expected(pieces: Pieces, words: list[str], weight: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Expected uses of each piece (rows) by language (columns) if words occur weight times in each; p is one column."""
     out = np.zeros((pieces.size, weight.shape[1]))
-    by_size = defaultdict(list)
-    for i, w in enumerate(words):
-        by_size[len(w)].append(i)
-    parts = []
-    for size, all_at in by_size.items():
-        for k in range(0, len(all_at), 4096):
-            at = np.array(all_at[k : k + 4096])
-            lattice = pieces.lattice([words[i] for i in at])
-            alpha = forward(lattice, len(at), size, p)[:, :, 0]
-            beta = np.zeros((size + 1, len(at)))
-            beta[size] = 1
-            for first, end, some, ids in reversed(lattice):
-                use = p[ids, 0] * beta[end][some]
-                parts.append((ids, at[some], alpha[first][some] * use / alpha[size][some]))
-                beta[first][some] += use
-    if parts:
-        ids, at, share = (np.concatenate(c) for c in zip(*parts))
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p[:, 0])
+    for at in parts_of(words):
+        some = [words[i] for i in at]
+        word, first, length, ids = pieces.lattice(some)
+        sizes = np.fromiter(map(len, some), np.int64, len(some))
+        total, before = summed(word, first + length, length, ids, sizes, p, pieces.longest)
+        _, after = summed(word, sizes[word] - first, length, ids, sizes, p, pieces.longest)
+        begin = (np.cumsum(sizes + 1) - (sizes + 1))[word]
+        share = np.exp(before[begin + first] + log_p[ids] + after[begin + sizes[word] - first - length] - total[word, 0])
         for lang in range(weight.shape[1]):
-            out[:, lang] = np.bincount(ids, share * weight[at, lang], pieces.size)
+            out[:, lang] += np.bincount(ids, share * weight[at[word], lang], pieces.size)
     return out
 
 
@@ -173,13 +211,8 @@ def train(docs: DataFrame, vocabulary: str):
 
         def flush():
             words = sorted({w for c in seen for w in c})
-            parts = defaultdict(lambda: np.zeros(len(langs)))
-            for w in words:
-                n = np.array([c[w] for c in seen], float)
-                for s in stretches(w):
-                    parts[s] += n
-            if parts:
-                total[:] += expected(pieces, list(parts), np.array(list(parts.values())), p)
+            if words:
+                total[:] += expected(pieces, list(map(marked, words)), np.array([[c[w] for w in words] for c in seen], float).T, p)
             for c in seen:
                 c.clear()
 
@@ -214,20 +247,11 @@ class Scorer:
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             new = list(words)
-        by_size = defaultdict(list)
         first = len(self.known)
         while first + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[first : first + len(new)] = 0
-        for i, w in enumerate(new, first):
-            self.known[w] = i
-            for s in stretches(w):
-                by_size[len(s)].append((i, s))
-        for part in by_size.values():
-            for k in range(0, len(part), 4096):
-                some = part[k : k + 4096]
-                total = forward(self.pieces.lattice([s for _, s in some]), len(some), len(some[0][1]), self.p)[-1]
-                np.add.at(self.rows, [i for i, _ in some], np.log(total))
+        self.known.update(zip(new, range(first, first + len(new))))
+        self.rows[first : first + len(new)] = log_probabilities(self.pieces, list(map(marked, new)), self.p)
 
     def score(self, texts: list[list[bytes]]) -> np.ndarray:
         self.learn(set().union(*texts))
@@ -240,11 +264,11 @@ def identify(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     Learned from rows whose crc32 remainder by 3 is not 1 and whose lang is not null. A text without a letter, a null
     text, and any text if nothing was learned, is `und` with score 0; else score is the share of the best language in
-    the likelihoods. Of equals the language that sorts first is taken.
+    the likelihoods. Of equals the language that sorts first is taken. A row without doc_id is no held-out row.
     """
     vocabulary = vocabulary or tokenizer_path("piece_bpe_32k.model")
-    held = remainder(F.col("doc_id"), 3) == 1
-    langs, p = train(docs.select("doc_id", "text", "lang").filter(~F.coalesce(held, F.lit(False))), vocabulary)
+    held = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    langs, p = train(docs.select("doc_id", "text", "lang").filter(~held), vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((langs, p))
 
     def run(batches):

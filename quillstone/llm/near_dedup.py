@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, hot_lookup, stored
+from .common import components, forget, hot_lookup, stored, unused
 from .words import Hashes, mixed, odd_numbers, spaced_words
 
 SHINGLE = 5
@@ -20,18 +20,16 @@ HASHES = 128
 TREES, DEPTH, SHARED = 24, 8, 3
 #: Neighbours on either side that a document is compared with in each order.
 WINDOW = 3
-#: Documents on each side of one comparison of a region deeper than the window, and of those one slice.
-BLOCK, SLICE = 4096, 64
-#: Of a document's candidates in a slice so many are tried at first, then GROWTH times as many, until none is left out.
-FIRST_TRY, GROWTH = 2, 16
+#: Shingles on each side of one comparison of a region deeper than the window, and documents likewise.
+BLOCK_SHINGLES, BLOCK = 2_000_000, 8192
 #: Of 128 four-bit hashes so many must agree for a pair to be a candidate; at similarity 0.75 fewer are 4.5 standard deviations away.
 AGREE = 76
 #: Rounds in which each group tries its best candidate only; then all candidates between groups are confirmed.
 BEST_ROUNDS = 1
-#: Shingles of texts that a task keeps for further pairs of the same documents.
+#: Shingles of texts that a task keeps for further pairs or regions of the same documents.
 SETS_HELD = 4_000_000
-#: Up to so many ids (of 8 bytes) are broadcast to pick texts; beyond, the texts are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Up to so many ids (with digests, under 100 bytes each) are broadcast to pick texts; beyond, the texts are shuffled.
+BROADCAST_IDS = 300_000
 FACTORS = odd_numbers(HASHES, 3)
 _PLACES = odd_numbers(SHINGLE, 5)
 
@@ -57,16 +55,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def words_key(words: list[bytes]) -> str | None:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest() if words else None
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, n_shingles, signature): words is a digest of the word sequence; one row of it a task is signed."""
+    """(doc_id, mark, words, n_shingles, signature): 64 bits of the text, a digest of the words; one row of it a task is signed."""
 
     def run(batches):
         hashes, seen = Hashes(), set()
         for batch in batches:
             keys, sizes, signs = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 words = spaced_words(text.as_py() or b"")
-                key = hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest() if words else None
+                key = words_key(words)
                 keys.append(key)
                 shingles = shingle_set(hashes.of(words))
                 sizes.append(len(shingles))
@@ -77,9 +79,10 @@ def signed(docs: DataFrame) -> DataFrame:
                     seen.clear()
                 seen.add(key)
                 signs.append(signature(shingles).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())], ["doc_id", "words", "n_shingles", "signature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())], ["doc_id", "mark", "words", "n_shingles", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, words string, n_shingles long, signature binary")
+    text = F.col("text").cast("binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(run, "doc_id long, mark long, words string, n_shingles long, signature binary")
 
 
 _ROW = pa.schema([("tree", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("id", pa.int64()), ("sketch", pa.binary()), ("grp", pa.int64())])
@@ -189,8 +192,8 @@ def candidates(classes: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = classes.sparkSession
     key = ["tree", "high", "low", "id"]
     found = stored(neighbours(orders(classes).repartitionByRange(*key).sortWithinPartitions(*key), window), "neighbours")
-    ends = found.filter("a IS NULL").select(*(n.name for n in _ROW)).distinct()  # 2 x window rows a partition
-    more = neighbours(ends.coalesce(1).sortWithinPartitions(*key), window).filter("a IS NOT NULL")
+    ends = found.filter("a IS NULL").select(*(n.name for n in _ROW)).distinct()
+    more = neighbours(ends.repartition("tree", F.shiftright("high", 16 * (4 - SHARED))).sortWithinPartitions(*key), window).filter("a IS NOT NULL")
     out = found.filter("a IS NOT NULL").select("a", "b", "agree").union(more.select("a", "b", "agree"))
     return out.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
@@ -238,118 +241,116 @@ def labelled(pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
     return pairs
 
 
-_DEEP = pa.schema([("tree", pa.int32()), ("region", pa.int64()), ("id", pa.int64()), ("sketch", pa.binary()), ("half", pa.binary())])
-
-
-def regions_of(classes: DataFrame, full: bool) -> DataFrame:
-    """(tree, region, id) for each class and order; with full also its sketch and the hashes of its regions in all orders."""
+def regions_of(classes: DataFrame) -> DataFrame:
+    """(id, n_shingles, regions): in each order the hashes that a class's region shares, in one integer."""
 
     def run(batches):
         places = np.arange(TREES)[:, None] * (HASHES // TREES) + np.arange(SHARED)[None, :]
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                ids = np.array(batch.column(0)[at : at + 2000].to_pylist(), np.int64)
-                signs = np.frombuffer(b"".join(batch.column(1)[at : at + 2000].to_pylist()), "<u4").reshape(len(ids), HASHES)
-                half = (signs[:, places] & 0xFFFF).astype(np.int64)  # class, tree, depth
-                region = half[:, :, 0]
-                for k in range(1, SHARED):
-                    region = region << 16 | half[:, :, k]
-                columns = [pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(ids))), pa.array(region.ravel()), pa.array(np.repeat(ids, TREES))]
-                if full:
-                    where = pa.array(np.repeat(np.arange(len(ids)), TREES))
-                    nibbles = (signs >> 16 & 15).astype(np.uint8)
-                    sketch = pa.array([x.tobytes() for x in nibbles[:, ::2] << 4 | nibbles[:, 1::2]], pa.binary())
-                    columns += [sketch.take(where), pa.array([x.tobytes() for x in half.astype("<u2")], pa.binary()).take(where)]
-                yield pa.RecordBatch.from_arrays(columns, _DEEP.names[: len(columns)])
-
-    return classes.select("id", "signature").mapInArrow(run, "tree int, region long, id long" + ", sketch binary, half binary" * full)
-
-
-def deep_pairs(classes: DataFrame, deep: DataFrame, groups: DataFrame | None, keep: int) -> DataFrame:
-    """(a, b, agree): candidates between groups in the regions deep (tree, region, id), each found in one order.
-
-    All rows of a region meet: it is cut into blocks by a hash of the id, and each pair of blocks is compared in one
-    place, so that no task holds more than two blocks. The region's largest group has blocks of its own, which aren't
-    compared with each other. Of the candidates in a slice of a block the keep best of each document are given; a row
-    with a null says how many others there are.
+            signs = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(batch.num_rows, HASHES)
+            half = (signs[:, places] & 0xFFFF).astype(np.int64)  # class, tree, depth
+            region = half[:, :, 0]
+            for k in range(1, SHARED):
+                region = region << 16 | half[:, :, k]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(region), pa.list_(pa.int64()))], ["id", "n_shingles", "regions"])
+
+    return classes.select("id", "n_shingles", "signature").mapInArrow(run, "id long, n_shingles long, regions array<long>")
+
+
+def deep_rows(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(id, regions, grp, tree, region, left, right, block): where the classes of regions deeper than the window meet.
+
+    Regions of one group are done. The others are cut into blocks by a hash of the id, and each pair of blocks is
+    compared in one place, so that no task holds more than two blocks, of bounded size, however many documents a region
+    has. The region's largest group has blocks of its own, which aren't compared with each other.
     """
-    named = deep.withColumn("grp", F.col("id"))
+    named = regions_of(classes).withColumn("grp", F.col("id"))
     if groups is not None:
-        named = deep.join(groups, "id", "left").select("tree", "region", "id", F.coalesce("component", "id").alias("grp"))
-    sizes = named.groupBy("tree", "region", "grp").agg(F.count("*").alias("n")).groupBy("tree", "region")
-    sizes = sizes.agg(F.sum("n").alias("n"), F.max(F.struct("n", "grp")).alias("top")).filter("n > top.n")
-    blocks = sizes.select("tree", "region", F.col("top.grp").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("mine"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("others"))
-    at = stored(named.join(blocks, ["tree", "region"]), "deep-blocks")
-    picked = classes.join(at.select("id").distinct(), "id", "left_semi")
-    rows = regions_of(picked, True).join(at, ["tree", "region", "id"])
-    spread = F.xxhash64("id")
-    block = F.when(F.col("grp") == F.col("top"), F.pmod(spread, "mine")).otherwise(F.col("mine") + F.pmod(spread, "others"))
-    rows = rows.withColumn("block", block).withColumn("end", F.col("mine") + F.col("others") - 1)
-    own = F.col("block") < F.col("mine")
+        named = regions_of(classes).join(groups, "id", "left").select("id", "n_shingles", "regions", F.coalesce("component", "id").alias("grp"))
+    named = stored(named, "regions")
+    each = named.select("id", "n_shingles", "grp", F.posexplode("regions").alias("tree", "region"))
+    sizes = each.groupBy("tree", "region", "grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).groupBy("tree", "region")
+    sizes = sizes.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "grp")).alias("top")).filter((F.col("n") > WINDOW + 1) & (F.col("n") > F.col("top.n")))
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES))
+    blocks = sizes.select("tree", "region", F.col("top.grp").alias("top"), parts(F.col("top.n"), F.col("top.s")).alias("mine"), parts(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("others"))
+    at = stored(each.join(blocks, ["tree", "region"]).drop("n_shingles"), "deep")
+    own, spread, end = F.col("grp") == F.col("top"), F.xxhash64("id"), F.col("mine") + F.col("others") - 1
+    at = at.withColumn("block", F.when(own, F.pmod(spread, "mine")).otherwise(F.col("mine") + F.pmod(spread, "others")))
     # the top group's blocks meet the others' alone
-    rows = rows.withColumn("other", F.explode(F.when(own, F.sequence("mine", "end")).otherwise(F.sequence(F.lit(0).cast("long"), "end"))))
-    rows = rows.select("tree", "region", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "grp", "sketch", "half")
+    at = at.withColumn("other", F.explode(F.when(own, F.sequence("mine", end)).otherwise(F.sequence(F.lit(0).cast("long"), end))))
+    at = at.select("tree", "region", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "grp")
+    return at.join(named.select("id", "regions"), "id")
+
+
+def deep_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links of similar classes that join, with the groups so far, all that are similar within the regions of rows.
+
+    Where two blocks meet, full shingle sets are compared: a document with all others that are not in its group yet,
+    and that it didn't meet in an earlier order; the links found join groups at once. So at most one link a group is
+    returned, and no pair of one group is compared.
+    """
     key = ["tree", "region", "left", "right"]
 
     def compare(tree, same, x, y):
-        """Candidates of the rows x with the rows y, in slices; same: they are the same rows."""
-        low = np.uint64(0x1111111111111111)
-        for at in range(0, len(x[0]), SLICE):
-            ids, grp, words, half = (c[at : at + SLICE] for c in x)
-            differ = np.zeros((len(ids), len(y[0])), np.uint8)
-            for w in range(words.shape[1]):
-                d = words[:, w, None] ^ y[2][None, :, w]
-                d |= d >> np.uint64(1)
-                d |= d >> np.uint64(2)
-                differ += np.bitwise_count(d & low)
-            near = (differ <= HASHES - AGREE) & (grp[:, None] != y[1][None, :])
-            if same:
-                near &= np.arange(at, at + len(ids))[:, None] < np.arange(len(y[0]))[None, :]
-            i, j = np.nonzero(near)
-            if tree and len(i):  # pairs that meet in an earlier order are found there
-                step = max(1, (1 << 22) // (tree * SHARED))
-                met = [(half[i[k : k + step], :tree] == y[3][j[k : k + step], :tree]).all(2).any(1) for k in range(0, len(i), step)]
-                i, j = i[~np.concatenate(met)], j[~np.concatenate(met)]
-            if not len(i):
+        """x and y: ids, groups, regions, sets of the blocks' documents, in arrays; same: they are one block."""
+        ids, grp, regions, sets = (list(c) if same else [*c, *d] for c, d in zip(x, y))
+        n, first = len(ids), 0 if same else len(x[0])  # y begins at first
+        grp, regions = np.array(grp), np.array(regions, np.int64).reshape(n, TREES)[:, :tree]
+        sizes = np.fromiter(map(len, sets), np.int64, n)
+        # shingles that only one document has can't be shared
+        values, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        holder = np.repeat(np.arange(n), sizes)
+        often = times[number] > 1
+        number, holder = number[often], holder[often]
+        begins = np.searchsorted(holder, np.arange(n + 1))
+        mine = np.zeros(len(values), bool)
+        for i in range(n if same else first):
+            lo = i + 1 if same else first
+            near = (grp[lo:] != grp[i]) & (100 * np.minimum(sizes[lo:], sizes[i]) >= PERCENT * np.maximum(sizes[lo:], sizes[i]))
+            j = lo + np.flatnonzero(near)
+            if tree and len(j):
+                j = j[~(regions[j] == regions[i]).any(1)]
+            if not len(j):
                 continue
-            agree, chosen = HASHES - differ[i, j].astype(np.int32), np.zeros(len(i), bool)
-            for end in (i, j):
-                order = np.lexsort((-agree, end))
-                starts = np.flatnonzero(np.r_[True, end[order][1:] != end[order][:-1]])
-                place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-                chosen[order[place < keep]] = True
-            a, b, agree = ids[i[chosen]], y[0][j[chosen]], agree[chosen]
-            a, b, rest = np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), int((~chosen).sum())
-            none = [None] * (rest > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(a + none, pa.int64()), pa.array(b + none, pa.int64()), pa.array(agree.tolist() + [rest] * len(none), pa.int64())], ["a", "b", "agree"])
-
-    def flush(place, parts):
-        block, ids, grp, words, half = (np.concatenate(c) for c in zip(*parts))
-        sides = [tuple(c[block == k] for c in (ids, grp, words, half)) for k in place[2:]]
-        yield from compare(place[0], place[2] == place[3], *sides)
+            mine[number[begins[i] : begins[i + 1]]] = True
+            if 4 * len(j) > n - lo:
+                ahead = np.concatenate([[0], np.cumsum(mine[number[begins[lo] :]])])
+                shared = ahead[begins[j + 1] - begins[lo]] - ahead[begins[j] - begins[lo]]
+            else:
+                shared = np.array([np.count_nonzero(mine[number[begins[k] : begins[k + 1]]]) for k in j])
+            mine[number[begins[i] : begins[i + 1]]] = False
+            for k in j[100 * shared >= PERCENT * (sizes[i] + sizes[j] - shared)].tolist():
+                if grp[k] != grp[i]:
+                    yield ids[i], ids[k]
+                    grp[grp == grp[k]] = grp[i]
 
     def run(batches):
+        hashes, sets, held = Hashes(), {}, 0
         place, parts = None, []
+
+        def flush():
+            sides = [[r for r in parts if r[0] == k] for k in place[2:]]
+            pairs = list(compare(place[0], place[2] == place[3], *([[r[c] for r in side] for c in (1, 2, 3, 4)] for side in sides)))
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
+
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            keys = np.stack([np.array(c).astype(np.int64) for c in batch.columns[:4]])
-            columns = [np.array(c) for c in batch.columns[4:7]]
-            columns.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(n, -1))
-            columns.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), "<u2").reshape(n, TREES, SHARED))
-            cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, n]
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                now = tuple(keys[:, lo].tolist())
+            for *now, block, i, grp, regions, text in zip(*(c.to_pylist() if k < 8 else c for k, c in enumerate(batch.columns))):
                 if parts and now != place:
-                    yield from flush(place, parts)
+                    yield flush()
                     parts = []
                 place = now
-                parts.append([c[lo:hi] for c in columns])
+                if i not in sets:
+                    if held > SETS_HELD:
+                        sets.clear()
+                        held = 0
+                    sets[i] = shingle_set(hashes.of(spaced_words(text.as_py())))
+                    held += len(sets[i])
+                parts.append((block, i, grp, regions, sets[i]))
         if parts:
-            yield from flush(place, parts)
+            yield flush()
 
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, agree long")
+    rows = rows.join(texts, "id").select(*key, "block", "id", "grp", "regions", "text")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
 def settled(rest: DataFrame, texts: DataFrame, groups: DataFrame | None) -> DataFrame | None:
@@ -378,40 +379,67 @@ def settled(rest: DataFrame, texts: DataFrame, groups: DataFrame | None) -> Data
     return groups
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, text) of the classes in nodes: a text of the class's doc_id that has its words."""
+    wanted = classes.join(nodes, "id").select("id", F.col("doc_id").alias("wanted"), "words")
+    few = wanted.count() <= BROADCAST_IDS
+    some = docs.select(F.col("doc_id").cast("long").alias("wanted"), F.col("text").cast("binary")).join(F.broadcast(wanted) if few else wanted, "wanted").select("id", "words", "text")
+
+    def run(batches):
+        for batch in batches:
+            fits = [words_key(spaced_words(t.as_py() or b"")) == w for w, t in zip(batch.column(1).to_pylist(), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits, pa.bool_())) for c in (batch.column(0), batch.column(2))], ["id", "text"])
+
+    # rows of one doc_id with the same words would come twice
+    return some.mapInArrow(run, "id long, text binary").groupBy("id").agg(F.first("text").alias("text"))
+
+
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, component) of classes that are linked with others.
 
-    The first search compares neighbours alone, and joins most of a dense region. Then in all regions deeper than its
-    window every row is compared with those of the other groups; the best candidates are tried first, and rounds end
-    when all that are left between groups have been confirmed.
+    The first search compares neighbours, by longest common prefix, in every order, and joins most of a dense region;
+    a region of at most WINDOW + 1 rows is compared whole. Then the regions that are deeper than the window and still
+    have several groups are compared whole.
     """
+    spark = docs.sparkSession
 
-    def settle(pairs, groups):
-        nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        picked = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-        texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary")).join(picked, "id"), "texts")
-        groups = settled(pairs, texts, groups)
-        forget(texts)
-        return groups
+    def texts(nodes):
+        return stored(texts_of(docs, nodes, classes), "texts")
 
     tried = stored(candidates(classes), "candidates").select("a", "b", F.col("agree").cast("long"))
-    groups = settle(tried, None)
-    everywhere = regions_of(classes, False)
-    depth = everywhere.groupBy("tree", "region").agg(F.count("*").alias("n")).filter(F.col("n") > WINDOW + 1).drop("n")
-    deep = stored(everywhere.join(depth, ["tree", "region"]), "deep")
-    keep = FIRST_TRY
-    while True:
-        found = stored(deep_pairs(classes, deep, groups, keep), "deep-pairs")
-        left_out = found.filter("a IS NULL").count()
-        more = stored(found.filter("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "more")
-        forget(found)
-        if not more.isEmpty():
-            groups = settle(more, groups)
-            tried = tried.union(more)
-        if not left_out:
-            break
-        keep *= GROWTH
-    return groups if groups is not None else docs.sparkSession.createDataFrame([], "id long, component long")
+    some = texts(tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct())
+    groups = settled(tried, some, None)
+    forget(some)
+    rows = stored(deep_rows(classes, groups), "deep-rows")
+    if not rows.isEmpty():
+        some = texts(rows.select("id").distinct())
+        found = stored(deep_links(rows, some), "deep-links")
+        forget(some)
+        if not found.isEmpty():
+            if groups is not None:  # the groups so far, as stars
+                found = found.union(groups.select(F.col("component").alias("a"), F.col("id").alias("b")))
+            groups = stored(components(found, "groups"), "groups")
+    forget(rows)
+    return groups if groups is not None else spark.createDataFrame([], "id long, component long")
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (64 bits of the text), n_shingles, component_id, kept for each row of docs: see near_duplicates."""
+    all_rows = stored(signed(docs), "signed")
+    total = all_rows.count()
+    some = all_rows.filter("words IS NOT NULL AND doc_id IS NOT NULL")
+    ids = some.groupBy("words").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("size"))
+    signs = some.filter("signature IS NOT NULL").select("words", "signature").groupBy("words").agg(F.first("signature").alias("signature"))
+    # a number of its own for each class, as texts with other words may have the same doc_id
+    classes = stored(stored(ids.join(signs, "words"), "sets").withColumn("id", F.monotonically_increasing_id()), "classes")
+    groups = links(classes, docs)
+    both = classes.join(groups, "id", "left").select("words", "doc_id", "size", F.coalesce("component", "id").alias("c"), F.col("component").isNotNull().alias("linked"))
+    least = both.filter("linked").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    named = stored(both.filter("linked OR size > 1").join(least, "c", "left").select("words", F.coalesce("component_id", "doc_id").alias("component"), "size"), "named")
+    key = F.when(F.col("doc_id").isNotNull(), F.col("words"))
+    out = hot_lookup(all_rows.select("doc_id", "mark", "n_shingles", key.alias("words")), named, "words", "size", total)
+    component = F.coalesce("component", "doc_id")
+    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -420,23 +448,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Words are cut at ASCII white space, A-Z lower-cased; a set has the distinct runs of five words, of fewer words the
     one run that there is. Rows with the same words are one class, by digest; classes are linked at a Jaccard similarity
     of 0.75 on full sets; component_id is the smallest doc_id that links lead to. A text without words, a null text and
-    a row without doc_id are linked with nothing and kept. Rows with one doc_id count as one document.
+    a row without doc_id are linked with nothing and kept. Rows with one doc_id and different words are linked each for
+    itself; rows with one doc_id and the same words have the same result.
     """
-    all_rows = stored(signed(docs), "signed")
-    total = all_rows.count()
-    some = all_rows.filter("words IS NOT NULL AND doc_id IS NOT NULL")
-    ids = some.groupBy("words").agg(F.min("doc_id").alias("id"), F.count("*").alias("_size"))
-    signs = some.filter("signature IS NOT NULL").select("words", "signature").groupBy("words").agg(F.first("signature").alias("signature"))
-    classes = stored(ids.join(signs, "words"), "classes")
-    groups = links(classes, docs)
-    named = stored(classes.drop("signature").join(groups, "id", "left").select("words", F.coalesce("component", "id").alias("_component"), "_size").filter("_size > 1 OR component IS NOT NULL"), "named")
-    key = F.when(F.col("doc_id").isNotNull(), F.col("words"))
-    out = hot_lookup(all_rows.select("doc_id", "n_shingles", key.alias("words")), named, "words", "_size", total)
-    component = F.coalesce("_component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return classified(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def near_deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are kept: the smallest doc_id of each group of near duplicates."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """The rows of docs, with all their columns, that are kept: the smallest doc_id of each group of near duplicates.
+
+    Rows go one by one, so that a text whose doc_id another text has too stays if nothing is similar. Of rows with one
+    doc_id and the same text one stays, with all the columns of that row. Columns may have any names.
+    """
+    found = stored(classified(docs), "classified")
+    id_, mark_, n_ = unused(docs, "id", "mark", "n")
+    at = (docs["doc_id"].cast("long") == F.col(id_)) & (F.xxhash64(docs["text"].cast("binary")) == F.col(mark_))
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias(id_), F.col("mark").alias(mark_)).distinct()
+    out = docs.join(gone, at, "left_anti")
+    twice = stored(found.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(id_), F.col("mark").alias(mark_)).agg(F.count("*").alias(n_)).filter(F.col(n_) > 1).drop(n_), "twice")
+    if twice.isEmpty():
+        return out
+    return out.join(twice, at, "left_anti").unionByName(out.join(twice, at, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -119,17 +119,45 @@ def test_near_duplicates_of_a_dense_region_are_those_of_brute_force(spark):
         for k in rng.sample(range(0, 400, 5), 8):
             text[k] = f"x{i}y{k}"
         rows.append((i, " ".join(text)))
-    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = dense_components([t for _, t in rows])
+    assert 700 < len(set(want.tolist())) < 1000
+    got = near_duplicates(frame(spark, rows).repartition(5)).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want.tolist()))
+
+
+def dense_components(texts):
+    """The smallest place that links lead to, by comparing all pairs as a matrix product."""
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
     common = [s for s, n in Counter(s for x in sets for s in x).items() if n > 1]
     has = np.array([[s in x for s in common] for x in sets], np.float32)
     shared, size = (has @ has.T).astype(int), np.array([len(x) for x in sets])
-    linked = 100 * shared >= 75 * (size[:, None] + size - shared)
-    want, last = np.arange(len(rows)), None
+    linked = (100 * shared >= 75 * (size[:, None] + size - shared)) | np.eye(len(texts), dtype=bool)
+    want, last = np.arange(len(texts)), None
     while last is None or (want != last).any():
-        want, last = np.where(linked, want, len(rows)).min(1), want
-    assert 700 < len(set(want.tolist())) < 1000
-    got = near_duplicates(frame(spark, rows).repartition(5)).collect()
-    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want.tolist()))
+        want, last = np.where(linked, want, len(texts)).min(1), want
+    return want
+
+
+def test_dense_regions_whatever_the_partitions_and_batches(spark, monkeypatch):
+    """1200 texts of one template with 4 to 8 of 220 words replaced: very many pairs on both sides of 0.75."""
+    import quillstone.llm.near_dedup as nd
+
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(220)]
+    rows = []
+    for i in range(1200):
+        text = list(base)
+        for k in rng.sample(range(220), rng.randint(4, 8)):
+            text[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(text)))
+    want = dict(enumerate(dense_components([t for _, t in rows]).tolist()))
+    assert 300 < len(set(want.values())) < 1100
+    for parts, batch, block in ((1, "10000", 8192), (4, "200", 300), (9, "10000", 300)):
+        monkeypatch.setattr(nd, "BLOCK", block)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = near_duplicates(frame(spark, rows).repartition(parts)).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_near_duplicates_edges(spark):
@@ -143,6 +171,16 @@ def test_near_duplicates_edges(spark):
     assert near_deduplicated(extra).collect() == [(4, "a b", "c")]
 
 
+def test_near_deduplication_goes_by_rows(spark):
+    rows = [(1, "a b c d e f", 1), (2, "a b c d e f", 2), (2, "totally different words stand here", 3), (7, "one row twice over", 4), (7, "one row twice over", 5), (None, "a b c d e f", 6), (None, None, 7)]
+    clash = frame(spark, [(*r, r[2], r[2]) for r in rows], DOC + ", _gone int, _id int, mark int")
+    got = near_deduplicated(clash)
+    assert got.columns == clash.columns
+    assert sorted(r.mark for r in got.collect() if r.doc_id != 7) == [1, 3, 6, 7] and sum(r.doc_id == 7 for r in got.collect()) == 1
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(clash).collect() if r.doc_id is not None)
+    assert found == [(1, 1, True), (2, 1, False), (2, 2, True), (7, 7, True), (7, 7, True)]
+
+
 # --- line deduplication
 
 

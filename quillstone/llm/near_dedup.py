@@ -269,11 +269,13 @@ def deep_rows(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
         named = regions_of(classes).join(groups, "id", "left").select("id", "n_shingles", "regions", F.coalesce("component", "id").alias("grp"))
     named = stored(named, "regions")
     each = named.select("id", "n_shingles", "grp", F.posexplode("regions").alias("tree", "region"))
+    depth = each.groupBy("tree", "region").agg(F.count("*").alias("n")).filter(F.col("n") > WINDOW + 1).drop("n")
+    each = stored(each.join(depth, ["tree", "region"]), "deep")
     sizes = each.groupBy("tree", "region", "grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).groupBy("tree", "region")
-    sizes = sizes.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "grp")).alias("top")).filter((F.col("n") > WINDOW + 1) & (F.col("n") > F.col("top.n")))
+    sizes = sizes.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "grp")).alias("top")).filter(F.col("n") > F.col("top.n"))
     parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES))
     blocks = sizes.select("tree", "region", F.col("top.grp").alias("top"), parts(F.col("top.n"), F.col("top.s")).alias("mine"), parts(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("others"))
-    at = stored(each.join(blocks, ["tree", "region"]).drop("n_shingles"), "deep")
+    at = each.join(blocks, ["tree", "region"]).drop("n_shingles")
     own, spread, end = F.col("grp") == F.col("top"), F.xxhash64("id"), F.col("mine") + F.col("others") - 1
     at = at.withColumn("block", F.when(own, F.pmod(spread, "mine")).otherwise(F.col("mine") + F.pmod(spread, "others")))
     # the top group's blocks meet the others' alone

@@ -33,14 +33,15 @@ class Encoder:
 
     Both vocabularies begin a new word wherever a space follows something that is no white space, so that a text's ids
     are those of its pieces between such cuts. drops_space: the tokenizer ignores white space, so that every space (and
-    line feed) is such a cut and belongs to no piece.
+    line feed) is such a cut and belongs to no piece. A text in which an added token is spelt out, such as an end mark,
+    is encoded whole: the tokenizer gives it that token's id.
     """
 
     def __init__(self, path: str, drops_space: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.drops_space, self.cache, self.old = drops_space, {"": b""}, {}
         # what stands between pieces that are encoded together: one token, whatever is beside it
         self.mark = " \0 " if drops_space else "\n"
@@ -122,6 +123,9 @@ class Encoder:
         get = self.cache.get
         rows, new = [], set()
         for text in texts:
+            if any(t in text for t in self.special):
+                rows.append(([array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()], [], []))
+                continue
             split = self.pieces(text)
             ids = list(map(get, split))
             late = list(compress(range(len(ids)), map(is_, ids, repeat(None))))

@@ -86,6 +86,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text for each task of an exchange of whole texts, at least.
+TASK_BYTES = 64 << 20
+
+
+def size_of(docs: DataFrame) -> tuple[int, int]:
+    """(rows, number of tasks for an exchange of all texts): a pass that reads the texts without moving them."""
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return n, max(partitions(docs.sparkSession), -(-(size or 0) // TASK_BYTES))
+
+
 def hot_lookup(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """left join of left to right, which has one row a (string) key and, in column size, the number of left's rows with it.
 

@@ -83,7 +83,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, drops_space: bool = Fals
     of its own partition, without a shuffle: sequence_id is the partition's number times 2^40 plus a count. Documents
     beyond a window fill windows of their own, and what is left of them is packed. At the end of a partition the open
     windows are cut to fill each other, and the last part becomes sequences whose lengths are powers of two: no padding.
-    An empty table gives no rows; rows with one doc_id are packed each for itself.
+    So the sequences depend on how docs is partitioned and ordered; that each id lies in one piece does not. An empty table gives no rows; rows with one doc_id are packed each for itself.
     """
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
 

@@ -1,4 +1,4 @@
-"""Token ids as directly addressable codes: chunk levels, continuation bitmaps and rank directories."""
+"""Token ids as directly addressable codes in raw files: chunk levels, continuation bitmaps and rank directories."""
 
 from __future__ import annotations
 
@@ -11,108 +11,124 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions
+from .common import new_path, size_of
 from .tokens import encoded, record_batches, tokenizer_path
 
-MAGIC = b"QDAC1\0\0\0"
-#: Bits between two entries of a rank directory.
-RANK_BITS = 512
-#: ids in one file image (a row of the written table), at least one document.
+MAGIC = b"QDAC2\0\0\0"
+#: ids in a block of a level, and its parts: ones before it, the bitmap of ids that go on, a byte of each id.
+BLOCK_IDS = 512
+BLOCK = np.dtype([("rank", "<u4"), ("bits", "u1", BLOCK_IDS // 8), ("chunk", "u1", BLOCK_IDS)])
+#: The end of a file: part, shard, ids before it in the part, ids, documents, levels, ids of each level, magic.
+FOOTER = struct.Struct("<iiqqqi4q8s")
+#: ids in one file, at least one document.
 SHARD_IDS = 4_000_000
-_SCHEMA = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("image", pa.binary())])
-_DDL = "part int, shard int, first long, n_ids long, doc_ids array<long>, image binary"
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def dac_encode(ids: np.ndarray, ends: np.ndarray) -> bytes:
-    """A file image: magic, counts, document ends, then a level for each byte of the largest id.
+def dac_encode(ids: np.ndarray, ends: np.ndarray, doc_ids: np.ndarray, part: int = 0, shard: int = 0, first: int = 0) -> bytes:
+    """A file: a level for each byte of the largest id, then where the documents end, their doc_ids, and the footer.
 
-    A level has the id's next 8 bits for every id that reaches it, a bitmap of those that go on, and a rank directory:
-    the number of ones before each block of RANK_BITS bits.
+    A level has the next 8 bits of every id that reaches it, in blocks of equal size: each begins with the number of ids
+    before it that go on to the next level, and has a bitmap of those within. So one block a level leads to any id.
     """
-    levels, rest = [], ids.astype("<u4")
-    while True:
+    parts, sizes, rest = [], [], ids.astype("<u4")
+    while len(sizes) < 4 and (not sizes or len(rest)):
         more = rest > 0xFF
-        levels.append((rest.astype(np.uint8), more))
-        if not more.any():
-            break
+        blocks = np.zeros(-(-len(rest) // BLOCK_IDS), BLOCK)
+        full = len(blocks) * BLOCK_IDS
+        flags = np.zeros(full, bool)
+        flags[: len(rest)] = more
+        chunk = np.zeros(full, np.uint8)
+        chunk[: len(rest)] = rest & 0xFF
+        blocks["chunk"], blocks["bits"] = chunk.reshape(-1, BLOCK_IDS), np.packbits(flags, bitorder="little").reshape(-1, BLOCK_IDS // 8)
+        ones = flags.reshape(-1, BLOCK_IDS).sum(1)
+        blocks["rank"] = np.cumsum(ones) - ones
+        parts.append(blocks.tobytes())
+        sizes.append(len(rest))
         rest = rest[more] >> 8
-    parts = [MAGIC, struct.pack("<qqi", len(ids), len(ends), len(levels)), ends.astype("<i8").tobytes()]
-    for chunk, more in levels:
-        bits = np.packbits(more, bitorder="little")
-        bits = np.concatenate([bits, np.zeros(-len(bits) % (RANK_BITS // 8), np.uint8)])
-        ones = np.bitwise_count(bits).reshape(-1, RANK_BITS // 8).sum(1, dtype=np.int64)
-        rank = np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
-        parts += [struct.pack("<qqq", len(chunk), len(bits), len(rank)), chunk.tobytes(), bits.tobytes(), rank.tobytes()]
-    return b"".join(parts)
+    parts += [ends.astype("<i8").tobytes(), doc_ids.astype("<i8").tobytes()]
+    return b"".join(parts) + FOOTER.pack(part, shard, first, len(ids), len(ends), len(sizes), *sizes, *[0] * (4 - len(sizes)), MAGIC)
 
 
-class Dac:
-    """Reads a file image: any id by its place, ranges, or everything."""
+class TokenFile:
+    """Reads a file by ranges: read(offset, n) gives n bytes, size is the file's, with the line feed that Spark adds."""
 
-    def __init__(self, image: bytes):
-        if image[:8] != MAGIC:
+    def __init__(self, read, size: int):
+        self.read = read
+        at = size - 1 - FOOTER.size
+        self.part, self.shard, self.first, self.n, self.docs, levels, *sizes, magic = FOOTER.unpack(read(at, FOOTER.size))
+        if magic != MAGIC:
             raise ValueError("not a token file")
-        self.n, docs, levels = struct.unpack_from("<qqi", image, 8)
-        at = 28
-        self.ends = np.frombuffer(image, "<i8", docs, at)
-        at += 8 * docs
-        self.levels = []
-        for _ in range(levels):
-            chunk, bits, rank = struct.unpack_from("<qqq", image, at)
-            at += 24
-            parts = []
-            for n, kind in ((chunk, "u1"), (bits, "u1"), (rank, "<u4")):
-                parts.append(np.frombuffer(image, kind, n, at))
-                at += parts[-1].nbytes
-            self.levels.append(parts)
-
-    def _rank(self, level: int, i: int) -> int:
-        """Ones before bit i."""
-        _, bits, rank = self.levels[level]
-        block = i // RANK_BITS
-        first = block * RANK_BITS // 8
-        ones = int(rank[block]) + int(np.bitwise_count(bits[first : i // 8]).sum())
-        return ones + (int(bits[i // 8]) & (1 << i % 8) - 1).bit_count() if i % 8 else ones
+        self.levels, offset = [], 0
+        for k in range(levels):
+            self.levels.append((offset, sizes[k]))
+            offset += -(-sizes[k] // BLOCK_IDS) * BLOCK.itemsize
+        self.documents_at = offset
+
+    @classmethod
+    def of(cls, data: bytes) -> TokenFile:
+        return cls(lambda at, n: data[at : at + n], len(data))
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> TokenFile:
+        """A file in any file system that Spark reaches, of which only what is asked for is read."""
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        stream = fs.open(at)
+
+        def read(offset: int, n: int) -> bytes:
+            stream.seek(offset)
+            return bytes(stream.readNBytes(n))
+
+        return cls(read, fs.getFileStatus(at).getLen())
+
+    def documents(self) -> tuple[np.ndarray, np.ndarray]:
+        """(doc_ids, where they end)."""
+        both = np.frombuffer(self.read(self.documents_at, 16 * self.docs), "<i8")
+        return both[self.docs :], both[: self.docs]
 
     def __getitem__(self, i: int) -> int:
-        """The id at place i: one step a level, without decoding its neighbours."""
+        """The id at place i, from one block a level."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         out = 0
-        for k, (chunk, bits, _) in enumerate(self.levels):
-            out |= int(chunk[i]) << 8 * k
-            if not bits[i // 8] >> i % 8 & 1:
+        for k, (offset, _) in enumerate(self.levels):
+            number, place = divmod(i, BLOCK_IDS)
+            block = np.frombuffer(self.read(offset + number * BLOCK.itemsize, BLOCK.itemsize), BLOCK)[0]
+            out |= int(block["chunk"][place]) << 8 * k
+            more = np.unpackbits(block["bits"], bitorder="little")
+            if not more[place]:
                 break
-            i = self._rank(k, i)
+            i = int(block["rank"]) + int(more[:place].sum())
         return out
 
     def all(self) -> np.ndarray:
-        out = np.zeros(self.n, "<u4")
-        at = None
-        for k, (chunk, bits, _) in enumerate(self.levels):
+        out, at = np.zeros(self.n, "<u4"), None
+        for k, (offset, n) in enumerate(self.levels):
+            number = -(-n // BLOCK_IDS)
+            blocks = np.frombuffer(self.read(offset, number * BLOCK.itemsize), BLOCK)
+            chunk = blocks["chunk"].reshape(-1)[:n]
             if at is None:
                 out[:] = chunk
             else:
                 out[at] |= chunk.astype("<u4") << np.uint32(8 * k)
-            more = np.unpackbits(bits, count=len(chunk), bitorder="little").astype(bool)
+            more = np.unpackbits(blocks["bits"].reshape(-1), count=n, bitorder="little").astype(bool)
             at = np.flatnonzero(more) if at is None else at[more]
         return out
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, drops_space: bool, shard_ids: int = SHARD_IDS) -> None:
-    """Write docs (doc_id, text) in ascending doc_id order as a table of file images, named by part and shard.
+    """Write docs (doc_id, text) in ascending doc_id order as raw files, through the file system that Spark uses for path.
 
-    The parts are ranges of doc_id with about as many rows each, by approximate quantiles of that column alone; a part
-    is sorted and encoded by one task, image by image. Rows with one doc_id come in the order of their texts, and those
-    without one first.
+    The parts are ranges of doc_id, as many as the texts' bytes call for; rows with one doc_id, or none, come in the
+    order of a hash of their texts, and equal rows are spread too. A part is sorted and encoded by one task, file by
+    file; rows without doc_id come first. Spark's text writer gives each file's bytes as they are and a line feed.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [(i + 1) / n for i in range(n - 1)] or [0.5], 100 * n)).first()[0] if n > 1 else None
-    part = F.coalesce(F.size(F.filter(F.array(*(F.lit(int(c)) for c in sorted(set(cuts or [0])))), lambda c: c < F.col("doc_id"))), F.lit(0))
-    part = F.greatest(part, F.lit(0))
+    _, tasks = size_of(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("spread", F.rand(7))
 
     def run(batches):
         number = TaskContext.get().partitionId()
@@ -120,8 +136,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, drops_space: bool,
         doc_ids, parts, ends = [], [], []
 
         def image():
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            return number, shard, first, len(ids), doc_ids, dac_encode(ids, np.array(ends, np.int64))
+            names = np.array([NO_ID if i is None else i for i in doc_ids], np.int64)
+            return (dac_encode(np.frombuffer(b"".join(parts), "<u4"), np.array(ends, np.int64), names, number, shard, first),)
 
         def rows():
             nonlocal first, shard, total, doc_ids, parts, ends
@@ -137,15 +153,32 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, drops_space: bool,
             if doc_ids:
                 yield image()
 
-        yield from record_batches(rows(), _SCHEMA, 1)
+        yield from record_batches(rows(), pa.schema([("image", pa.binary())]), 1)
+
+    dealt = rows.repartitionByRange(tasks, "doc_id", "hash", "spread").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
+    images = dealt.mapInArrow(run, "image binary").select(F.col("image").cast("string"))
+    images.write.option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+
+
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of the token files; a part without documents may have left an empty one."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 1").select("path", "content")
+
+
+def token_index(spark: SparkSession, path: str) -> DataFrame:
+    """(path, part, shard, first, n_ids) of each file: first ids of its part come before it."""
+
+    def run(batches):
+        for batch in batches:
+            found = [TokenFile.of(memoryview(c.as_buffer())) for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([getattr(f, x) for f in found], t) for x, t in (("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("n", pa.int64())))], ["path", "part", "shard", "first", "n_ids"])
 
-    rows.repartitionById(n, part).sortWithinPartitions("doc_id", "text").mapInArrow(run, _DDL).write.option("compression", "zstd").parquet(path)
+    return files_of(spark, path).mapInArrow(run, "path string, part int, shard int, first long, n_ids long")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
-    files = spark.read.schema(_DDL).parquet(path)
-    sizes = {r[0]: r[1] for r in files.groupBy("part").agg(F.sum("n_ids")).collect()}  # one row a part
+    sizes = {r[0]: r[1] for r in token_index(spark, path).groupBy("part").agg(F.sum("n_ids")).collect()}  # one row a part
     before, at = {}, 0
     for part in sorted(sizes):
         before[part], at = at, at + sizes[part]
@@ -153,18 +186,18 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         def rows():
             for batch in batches:
-                for part, first, doc_ids, image in zip(*(batch.column(i) for i in range(4))):
-                    dac = Dac(image.as_py())
-                    raw = memoryview(dac.all().tobytes())
-                    start = before[part.as_py()] + first.as_py()
+                for content in batch.column(1):
+                    file = TokenFile.of(memoryview(content.as_buffer()))
+                    raw = memoryview(file.all().tobytes())
+                    start = before[file.part] + file.first
                     last = 0
-                    for doc_id, end in zip(doc_ids.as_py(), dac.ends.tolist()):
-                        yield doc_id, start + last, end - last, zlib.crc32(raw[4 * last : 4 * end])
+                    for doc_id, end in zip(*(x.tolist() for x in file.documents())):
+                        yield None if doc_id == NO_ID else doc_id, start + last, end - last, zlib.crc32(raw[4 * last : 4 * end])
                         last = end
 
         yield from record_batches(rows(), _OUT, 5000)
 
-    return files.select("part", "first", "doc_ids", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files_of(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None, drops_space: bool = True, path: str | None = None) -> DataFrame:

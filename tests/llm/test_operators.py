@@ -16,7 +16,7 @@ from quillstone.llm.line_dedup import repeated_runs, without_repeated_lines
 from quillstone.llm.near_dedup import near_deduplicated, near_duplicates
 from quillstone.llm.packing import SumOfSquares, pack
 from quillstone.llm.quality import bradley_terry, fit, quality, scored
-from quillstone.llm.token_output import Dac, dac_encode, token_files
+from quillstone.llm.token_output import TokenFile, dac_encode, token_files
 from quillstone.llm.words import alnum_words
 
 DOC = "doc_id long, text string"
@@ -51,7 +51,7 @@ def test_grace_recursion_finds_all_groups(tmp_path):
     contents = [bytes(rng.choices(b"ab", k=rng.randint(0, 9))) for _ in range(3000)]
     import hashlib
 
-    rows = [(hashlib.sha256(c).digest(), c, i, 1) for i, c in enumerate(contents)]
+    rows = [(hashlib.sha256(c).digest(), c, i, 1, 1) for i, c in enumerate(contents)]
     got = {e[1]: (e[2], e[3]) for e in grace_groups(iter(rows), 700, str(tmp_path))}
     assert got == {c: (max(i for i, x in enumerate(contents) if x == c), n) for c, n in Counter(contents).items()}
     assert not list(tmp_path.iterdir())
@@ -65,15 +65,17 @@ def test_table_compares_contents_not_hashes():
 
 
 def test_exact_dedup(spark):
-    rows = texts(300) + EDGES
-    df = frame(spark, [(*r, "x") for r in rows], DOC + ", kept string")
+    rows = texts(300) + EDGES + [(7, "line\n" * 500), (None, "some text of no id")]
+    df = frame(spark, [(*r, "x", k, k, k) for k, r in enumerate(rows)], DOC + ", kept string, _k int, _size int, _keep int")
     got = exact_dedup(df, table_bytes=3000).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) == len({r._k for r in got})
     norm = lambda t: (t or "").encode().lower()
     groups = Counter(norm(t) for _, t in rows)
     best = {k: max((i for i, t in rows if norm(t) == k and i is not None), default=None) for k in groups}
     for r in got:
-        assert (r.group_size, r.keep_id, r.kept) == (groups[norm(r.text)], best[norm(r.text)], r.doc_id == best[norm(r.text)])
+        assert (r.group_size, r.keep_id) == (groups[norm(r.text)], best[norm(r.text)])
+        assert not r.kept or r.doc_id == best[norm(r.text)]
+    assert Counter(norm(r.text) for r in got if r.kept) == dict.fromkeys(groups, 1)
     assert exact_dedup(frame(spark, [])).count() == 0
 
 
@@ -282,19 +284,40 @@ def test_sum_of_squares_takes_the_best_level():
         assert sum(c * c for c in q.counts[:16]) == best
 
 
+def plain_ids(name, text):
+    """The library's ids and the end, as bytes."""
+    from tokenizers import Tokenizer
+
+    from quillstone.llm.tokens import tokenizer_path
+
+    return np.array([*Tokenizer.from_file(tokenizer_path(name)).encode(text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
+
+
 def test_packing(spark):
-    rows = texts(80, 8) + EDGES
+    rows = [(i + 1000, t) for i, t in texts(80, 8)] + EDGES + [(600, "an <|endoftext|> inside"), (601, "w " * 9000)]
     got = pack(frame(spark, [(*r, 1) for r in rows], DOC + ", offset int").repartition(3)).collect()
-    assert sum(r.length for r in got if r.start == 0) and {r.doc_id for r in got} == {i for i, _ in rows}
-    seqs = {}
+    seqs, pieces = {}, {}
     for r in got:
         seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        pieces.setdefault(r.doc_id, []).append(r)
     for parts in seqs.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at and length > 0
             at += length
         assert at == 2048 or at & (at - 1) == 0
+    want = {}
+    for i, t in rows:
+        want.setdefault(i, []).append(plain_ids("byte_bpe_50k.json", t))
+    assert set(pieces) == set(want)
+    for i, parts in pieces.items():
+        texts_of = want[i]
+        assert len(set(texts_of)) == 1  # the row that stands twice
+        whole, seen = texts_of[0], Counter()
+        for r in parts:
+            assert r.doc_tokens == len(whole) // 4 and zlib.crc32(whole[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
+            seen.update(range(r.start, r.start + r.length))
+        assert seen == dict.fromkeys(range(len(whole) // 4), len(texts_of))
     assert pack(frame(spark, [])).count() == 0
 
 
@@ -302,22 +325,47 @@ def test_dac_round_trip_and_random_access():
     rng = np.random.default_rng(5)
     for top in (1, 200, 50_000, 1 << 31):
         ids = rng.integers(0, top, 3000).astype("<u4")
-        dac = Dac(dac_encode(ids, np.array([10, 3000])))
-        assert (dac.all() == ids).all() and dac.ends.tolist() == [10, 3000]
-        assert [dac[i] for i in range(0, 3000, 97)] == ids[::97].tolist()
-    assert Dac(dac_encode(np.zeros(0, "<u4"), np.zeros(0, np.int64))).all().tolist() == []
-
-
-def test_token_files(spark):
-    from quillstone.llm.tokens import Encoder, tokenizer_path
-
-    rows = texts(60, 9) + [(500, None), (501, "")]
-    got = token_files(frame(spark, rows).repartition(4)).orderBy("doc_id").collect()
-    encoder, at = Encoder(tokenizer_path("word_bpe_49k.json"), True), 0
-    for r, (i, t) in zip(got, sorted(rows)):
-        ids = encoder.batch([t or ""])[0]
+        data = dac_encode(ids, np.array([10, 3000]), np.array([4, 9]), 2, 3, 70) + b"\n"
+        reads = []
+        file = TokenFile(lambda at, n: reads.append(n) or data[at : at + n], len(data))  # noqa: B023
+        assert (file.part, file.shard, file.first, file.n) == (2, 3, 70, 3000)
+        for i in range(0, 3000, 97):
+            reads.clear()
+            assert file[i] == ids[i] and len(reads) <= 4 and max(reads) < 600
+        assert (file.all() == ids).all() and [x.tolist() for x in file.documents()] == [[4, 9], [10, 3000]]
+    none = TokenFile.of(dac_encode(np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)) + b"\n")
+    assert none.all().tolist() == []
+
+
+def test_token_files(spark, tmp_path):
+    from quillstone.llm.token_output import token_index, write_tokens
+    from quillstone.llm.tokens import tokenizer_path
+
+    rows = texts(60, 9) + [(500, None), (501, ""), (502, "an <|endoftext|> inside"), (None, "no id"), (None, None)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    got = token_files(frame(spark, rows).repartition(4)).orderBy("start").collect()
+    at = 0
+    for r, (i, t) in zip(got, order):
+        if i is None:
+            at = r.start + r.n_tokens
+            continue
+        ids = plain_ids("word_bpe_49k.json", t)
         assert tuple(r) == (i, at, len(ids) // 4, zlib.crc32(ids))
         at += len(ids) // 4
+    nameless = sorted((r.n_tokens, r.ids_crc32) for r in got if r.doc_id is None)
+    assert nameless == sorted((len(x) // 4, zlib.crc32(x)) for x in (plain_ids("word_bpe_49k.json", t) for i, t in rows if i is None))
+    # any id by its place from the written files, without reading them whole
+    write_tokens(frame(spark, rows), str(tmp_path / "ids"), tokenizer_path("word_bpe_49k.json"), True, 200)
+    index = sorted(token_index(spark, str(tmp_path / "ids")).collect(), key=lambda r: (r.part, r.shard))
+    want = np.concatenate([np.frombuffer(plain_ids("word_bpe_49k.json", t), "<u4") for i, t in order if i is not None])
+    skip, place = sum(n for n, _ in nameless), 0
+    assert len(index) > 3
+    for r in index:
+        file = TokenFile.open(spark, r.path)
+        for i in range(0, r.n_ids, 37):
+            if place + i >= skip:
+                assert file[i] == want[place + i - skip]
+        place += r.n_ids
     assert token_files(frame(spark, [])).count() == 0
     assert token_files(frame(spark, EDGES)).count() == len(EDGES)
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .tokens import record_batches
 from .words import Hashes, alnum_words, mixed, odd_numbers
 
@@ -17,9 +18,9 @@ from .words import Hashes, alnum_words, mixed, odd_numbers
 MASKS = ("111111", "11101011", "110110011", "1010110111")
 #: An overlap needs so many equal words, or this share of a shorter benchmark text.
 MIN_MATCHED, MIN_SHARE = 12, 0.8
-#: In an overlap each substituted word costs as much as so many equal ones gain: at least 3 of 4 words are equal.
+#: Of an overlap's words at least 3 of 4 are equal: a substituted word costs what so many equal ones gain.
 SUBSTITUTION = 3
-#: Words of benchmark texts in one index. More are treated index by index, in as many passes.
+#: Words of benchmark texts in one index. More are treated index by index, in as many passes over the documents.
 INDEX_WORDS = 2_000_000
 TABLE_BITS = 22
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_words", pa.int64()), ("n_matched", pa.int64())])
@@ -39,6 +40,22 @@ def seeds(hashes: np.ndarray, mask: int) -> np.ndarray:
     return mixed(out)
 
 
+def longest_stretch(equal: np.ndarray) -> tuple[int, int, int]:
+    """(begin, end, matched) of the stretch with the most equal words of which at least 3 of 4 words are equal."""
+    run = np.concatenate([[0], np.cumsum(np.where(equal, 1, -SUBSTITUTION))])
+    count = np.concatenate([[0], np.cumsum(equal)])
+    begins = np.flatnonzero(equal)
+    if not len(begins):
+        return 0, 0, 0
+    # the last end from whose sum, or a later one, the sum at the beginning is reached
+    later = np.maximum.accumulate(run[::-1])[::-1]
+    ends = np.searchsorted(-later, -run[begins], "right") - 1
+    matched = count[ends] - count[begins]
+    best = int(np.argmax(matched))
+    begin, end = int(begins[best]), int(begins[np.searchsorted(begins, ends[best]) - 1]) + 1
+    return begin, end, int(matched[best])
+
+
 class SeedIndex:
     """Seeds of benchmark texts: for each mask sorted hashes with item and place, and one table of bits for a first look."""
 
@@ -68,18 +85,14 @@ class SeedIndex:
             theirs = self.items[i][1]
             first, last = max(0, shift), min(len(h), shift + len(theirs))
             equal = h[first:last] == theirs[first - shift : last - shift]
-            run = np.concatenate([[0], np.cumsum(np.where(equal, 1, -SUBSTITUTION))])
-            low = np.minimum.accumulate(run)
-            end = int(np.argmax(run - low))
-            begin = int(np.argmin(run[: end + 1]))
-            matched = int(equal[begin:end].sum())
+            begin, end, matched = longest_stretch(equal)
             if matched >= min(MIN_MATCHED, math.ceil(MIN_SHARE * len(theirs))) and matched > best.get(i, (0, 0, 0, 0))[3]:
                 best[i] = (first + begin, first + begin - shift, end - begin, matched)
         return best
 
 
 def indexes(benchmark: DataFrame, words: int) -> Iterator[SeedIndex]:
-    """Indexes of at most so many words each, read row by row: the driver holds one at a time."""
+    """Indexes of at most so many words each (or of one text), read row by row."""
     hashes, items, total = Hashes(), [], 0
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL")
     for item_id, text in rows.toLocalIterator():
@@ -93,18 +106,38 @@ def indexes(benchmark: DataFrame, words: int) -> Iterator[SeedIndex]:
         yield SeedIndex(items)
 
 
+def passes(docs: DataFrame, benchmark: DataFrame, index_words: int, step, join) -> DataFrame | None:
+    """join over step(docs so far, broadcast index); with several indexes each pass is stored before the next index is sent.
+
+    The driver holds two indexes at most, and a task one.
+    """
+    out, rest = None, indexes(benchmark, index_words)
+    now = next(rest, None)
+    only = True
+    while now is not None:
+        following = next(rest, None)
+        only = only and following is None
+        shared = docs.sparkSession.sparkContext.broadcast(now)
+        found = step(docs if out is None else join(docs, out), shared)
+        if not only:
+            found = stored(found, "pass")
+            shared.unpersist()
+        out = found if out is None else join(out, found, True)
+        now = following
+    return out
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_words, n_matched): the best overlap of each document with each item.
 
     Words are runs of letters and digits, A-Z lower-cased. Candidates are places where a document and an item agree
-    under a mask; on their diagonal the best stretch is taken, in which substituted words count against it. Texts of
-    fewer words than the shortest mask, empty and null ones give nothing; repeated rows give repeated results.
+    under a mask; on their diagonal the stretch with the most equal words is taken of which at least 3 of 4 are equal.
+    Texts of fewer words than the shortest mask, empty and null ones give nothing; repeated rows give repeated results,
+    and a row without doc_id or item_id has null for it. An empty table on either side gives an empty result.
     """
-    out = docs.sparkSession.createDataFrame([], _DDL)
-    for index in indexes(benchmark, index_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches, shared=shared):
+    def step(_: DataFrame, shared) -> DataFrame:
+        def run(batches):
             hashes = Hashes()
 
             def rows():
@@ -115,22 +148,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_W
 
             yield from record_batches(rows(), _OUT)
 
-        out = out.union(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, _DDL))
-    return out
+        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, _DDL)
+
+    out = passes(docs, benchmark, index_words, step, lambda a, b, found=False: a.union(b) if found else a)
+    return docs.sparkSession.createDataFrame([], _DDL) if out is None else out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
-    """The rows of docs, with all their columns, that overlap with no benchmark text."""
+    """The rows of docs, with all their columns, that overlap with no benchmark text; null texts and ids are no overlap."""
     place = docs.columns.index("text")
-    out = docs
-    for index in indexes(benchmark, index_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches, shared=shared):
+    def step(left: DataFrame, shared) -> DataFrame:
+        def run(batches):
             hashes = Hashes()
             for batch in batches:
                 clean = [not shared.value.overlaps(hashes.of(alnum_words((text.as_py() or "").encode()))) for text in batch.column(place)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+        return left.mapInArrow(run, left.schema)
+
+    out = passes(docs, benchmark, index_words, step, lambda a, b, found=False: b)
+    return docs if out is None else out

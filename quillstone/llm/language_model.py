@@ -1,4 +1,8 @@
-"""A word bigram model by deleted interpolation, with weights by context frequency learned on leave-one-out counts."""
+"""A word bigram model by deleted interpolation, with weights by context frequency learned on leave-one-out counts.
+
+Bigrams are the longest n-grams: a corpus has about as many distinct trigrams as words, so their exchange would cost
+twice that of words and bigrams together, for contexts of which most occur once.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +20,8 @@ from .words import Hashes, mixed, odd_numbers, spaced_words
 
 #: Characters of a block, the unit that counts are asked for.
 BLOCK_CHARS = 8_000_000
+#: Buckets of the table of blocks, at most: what Spark allows.
+MOST_FILES = 100_000
 #: Distinct n-grams that a reducer sums at once, about.
 REDUCER_KEYS = 1_500_000
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -123,7 +129,7 @@ def count_ngrams(store: DataFrame, n_tokens: int) -> DataFrame:
 
     Each block asks for its distinct n-grams, with its own counts, from the reducers that have them, one row a reducer
     with sorted hashes; the answer has the summed counts in the same order. Reducers have ranges of hashes, which are
-    evenly filled however often an n-gram occurs. known is the number of the range's words in training, on one row a
+    evenly filled however often an n-gram occurs. A block has a row a range, but never more than it has n-grams. known is the number of the range's words in training, on one row a
     range of words.
     """
     buckets = max(partitions(store.sparkSession), n_tokens // REDUCER_KEYS + 1)
@@ -226,10 +232,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
     texts all probabilities are those of one unknown word. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    name, path, n_files = f"quillstone_blocks_{uuid.uuid4().hex}", new_path(spark, "blocks"), partitions(spark)
-    # bucketed by block, so that later passes read it without another shuffle
-    blocks(docs).write.option("compression", "zstd").bucketBy(n_files, "block").option("path", path).saveAsTable(name)
+    name, path = f"quillstone_blocks_{uuid.uuid4().hex}", new_path(spark, "blocks")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # bucketed by block, about one a bucket, so that later passes read it without another shuffle
+    files = min(MOST_FILES, size // BLOCK_CHARS + 1)
+    blocks(docs).write.option("compression", "zstd").bucketBy(files, "block").option("path", path).saveAsTable(name)
     store = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay, and store reads them
     n, n_docs, all_tokens = (x or 0 for x in store.agg(F.sum("n_train"), F.sum("n_docs"), F.sum("n_tokens")).first())
     answers = stored(count_ngrams(store, all_tokens), "counts")
     v = answers.agg(F.sum("known")).first()[0] or 0

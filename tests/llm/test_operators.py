@@ -252,19 +252,58 @@ def test_weights_prefer_what_predicts():
     assert w[3, 0] > 0.8 and w[0, 0] == 0 and np.allclose(w.sum(1), 1)
 
 
+def brute_scores(tokens, train, counts, pairs, n, v):
+    """log10 probabilities by the mixture, with weights from plain expectation-maximisation over all training tokens."""
+    contexts = lambda ws: [0, *ws[:-1]]
+    seen = lambda c: len(train) if c == 0 else counts[c]
+    level = lambda c: min(c.bit_length(), 47)
+    grid = lambda x: 2 ** (round(4 * math.log2(x * (v + 1))) / 4) if x > 0 else 0
+    events = Counter()
+    for i in train:
+        for c, w in zip(contexts(tokens[i]), tokens[i]):
+            two = (pairs[c, w] - 1) / (seen(c) - 1) if seen(c) > 1 else 0
+            events[level(seen(c)), grid(two), grid((counts[w] - 1) / max(n - 1, 1))] += 1
+
+    def em(some):
+        w = [0.5, 0.4, 0.1]
+        for _ in range(60):
+            new = [0, 0, 0]
+            for (_, two, one), k in some.items():
+                parts = [w[0] * two, w[1] * one, w[2]]
+                for x in range(3):
+                    new[x] += k * parts[x] / sum(parts)
+            new = [max(x / sum(some.values()), 1e-9) for x in new]
+            w = [x / sum(new) for x in new]
+        return w
+
+    everything = em(events)
+    weights = {b: em({e: k for e, k in events.items() if e[0] == b}) for b in {e[0] for e in events}}
+    unseen = weights.get(0, everything)
+    weights[0] = [0, *(x / sum(unseen[1:]) for x in unseen[1:])]
+    out = {}
+    for i, ws in tokens.items():
+        total = 0
+        for c, w in zip(contexts(ws), ws):
+            k = weights.get(level(seen(c)), everything)
+            total += math.log10(k[0] * pairs[c, w] / max(seen(c), 1) + k[1] * counts[w] / n + k[2] / (v + 1))
+        out[i] = total
+    return out
+
+
 def test_language_model(spark):
     rows = texts(200, 6) + [(1000, None), (1001, "")]
     got = {r.doc_id: r for r in score_texts(frame(spark, rows).repartition(4)).collect()}
     tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in rows}
     counts = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
     pairs = Counter(p for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for p in zip([0, *ws], ws))
-    assert pairs
     n, v = sum(counts.values()), len(counts)
     for i, ws in tokens.items():
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws), sum(counts[w] > 0 for w in ws), n, zlib.crc32(str(i).encode()) % 5 == 1)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
-        assert -1e9 < r.score < 0
+    scores = brute_scores(tokens, {i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1}, counts, pairs, n, v)
+    for i in tokens:
+        assert got[i].score == pytest.approx(scores[i], rel=1e-6)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert score_texts(frame(spark, [])).count() == 0
@@ -384,6 +423,39 @@ def test_license_join_is_exact():
         assert sorted(index.matches([w.encode() for w in block])) == want
 
 
+def test_license_query_is_that_of_brute_force(spark):
+    from quillstone.llm.license_scan import CONTAINMENT, PHRASES, TEMPLATES
+
+    rng, rows = random.Random(9), []
+    for i in range(120):
+        words = []
+        for _ in range(rng.randint(0, 3)):
+            part = rng.choice(TEMPLATES)[1].split()
+            part = [w for w in part if rng.random() > rng.choice([0, 0.15, 0.3])]
+            words += rng.choices(["x", "mit license", "Apache License", "license", "the", "Żółć"], k=rng.randint(0, 6)) + part
+        rows.append((i, " ".join(w + rng.choice(["", "", "\n"]) for w in words)))
+    got = {r.doc_id: r for r in scan(frame(spark, rows + [(None, None)])).collect()}
+    for i, text in rows:
+        words = alnum_words(text.encode())
+        starts, base, labels, score = [], set(), set(), 0.0
+        for phrase, label in PHRASES.items():
+            p = phrase.encode().split()
+            found = [k for k in range(len(words)) if words[k : k + len(p)] == p]
+            starts += found
+            base |= {label} if found else set()
+        for label, t in TEMPLATES:
+            t = alnum_words(t.encode())
+            width = math.ceil(len(t) / CONTAINMENT)
+            blocks = [alnum_words(x.encode()) for x in text.split("\n")] + [words[k : k + width] for k in range(len(words))]
+            share = max(len({*t} & {*b}) / len({*t}) for b in blocks)
+            if share >= CONTAINMENT - 1e-12:
+                labels.add(label)
+                score = max(score, share)
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(starts), min(starts, default=None), max(starts, default=None))
+        assert (r.base_labels, r.labels, r.score) == (",".join(sorted(base)), ",".join(sorted(base | labels)), pytest.approx(score))
+
+
 def test_license_scan(spark):
     rows = [(1, "See the MIT\nLicense. mit-license"), (2, "x\nThis work is licensed under the GNU General Public License, version 3."), (3, None), (4, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that following conditions are met")]
     got = {r.doc_id: r for r in scan(frame(spark, [(*r, "z") for r in rows], DOC + ", labels string")).collect()}
@@ -414,6 +486,40 @@ def test_license_notices_wrapped_over_lines(spark):
     assert (got[9].labels, got[9].score, got[9].blocks) == ("", 0.0, 0)
 
 
+def brute_overlaps(text, item):
+    """The most equal words of a stretch, at least 3 of 4 equal, on a diagonal where a mask's words agree."""
+    from quillstone.llm.decontamination import MASKS
+
+    best = 0
+    for shift in range(-len(item) + 1, len(text)):
+        same = [text[k] == item[k - shift] for k in range(max(0, shift), min(len(text), shift + len(item)))]
+        if any(all(same[k + j] for j, c in enumerate(m) if c == "1") for m in MASKS for k in range(len(same) - len(m) + 1)):
+            for b in range(len(same)):
+                for e in range(b + 1, len(same) + 1):
+                    n = sum(same[b:e])
+                    if 4 * n >= 3 * (e - b):
+                        best = max(best, n)
+    return best if best >= min(12, math.ceil(0.8 * len(item))) else 0
+
+
+def test_decontamination_is_that_of_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    items = [rng.choices(words, k=rng.choice([4, 9, 30])) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        part = list(rng.choice(items))
+        cut = rng.randint(0, len(part) // 2)
+        part = part[cut : cut + rng.randint(8, 30)]
+        part = [w if rng.random() > rng.choice([0, 0.1, 0.25, 0.3]) else "other" for w in part]
+        rows.append((i, " ".join(rng.choices(words, k=rng.randint(0, 9)) + part + rng.choices(words, k=rng.randint(0, 9)))))
+    rows.append((90, " ".join(items[2][:11] + ["a"] * 4 + items[2][15:])))
+    bench = frame(spark, list(enumerate(map(" ".join, items))), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_matched for r in find_leaks(frame(spark, rows), bench).collect()}
+    want = {(i, k): n for i, t in rows for k, item in enumerate(items) if (n := brute_overlaps(t.split(), item))}
+    assert got == want and len(want) > 20
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
@@ -450,6 +556,10 @@ def test_quality(spark):
     got = {r.doc_id: r for r in quality(docs, labels).collect()}
     assert len(got) == 242 and all(got[i].predicted == 1 for i, _ in good) and all(got[i].predicted == 0 for i, _ in bad)
     assert all(0 <= r.score <= 1 for r in got.values()) and got[900].score == got[901].score
+    nobody = frame(spark, [(None, "x", 1), (None, None, 2)], DOC + ", held_out int")
+    assert [(r.held_out, r.score) for r in quality(nobody, labels).collect()] == [(False, 0.5)] * 2
+    disagreeing = labels.union(frame(spark, [(i, 1 - (i < 200), 0) for i, _ in good + bad], labels.schema))
+    assert fit(docs, disagreeing) is None
     assert fit(docs, labels.limit(0)) is None and scored(docs, None).filter("predicted = 1").count() == 242
     assert quality(docs.limit(0), labels).count() == 0
 

@@ -29,9 +29,12 @@ def tokens(text: Column) -> Column:
 
 
 def char_shingles(text: Column, n: int = 5) -> Column:
-    """Distinct character n-grams; a shorter text is one shingle."""
-    size = F.length(text)
-    return F.array_distinct(F.when(size < n, F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))))
+    """Distinct character n-grams; a shorter text is one shingle. The text is cut into characters once, not searched for each."""
+    chars = F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    at = lambda cs: F.sequence(F.lit(1), F.greatest(F.size(cs) - n + 1, F.lit(1)))
+    # as a lambda's argument the characters are made once, not for each place
+    each = F.transform(chars, lambda cs: F.transform(at(cs), lambda i: F.array_join(F.slice(cs, i, F.lit(n)), "")))
+    return F.array_distinct(each[0])
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -43,9 +46,9 @@ def containment(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
 
 
-def sentences(text: Column) -> Column:
-    """Split after . ! ? 。 ！ ？ and at line feeds; blank pieces go."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?。！？])|\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+def sentences(text: Column, marks: str = "。！？") -> Column:
+    """Split after the marks and at line feeds; blank pieces go. Marks of other scripts also stand inside numbers and names."""
+    return F.filter(F.transform(F.split(text, rf"(?<=[{marks}])|\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def fixed_chunks(text: Column, size: int, overlap: int) -> Column:
@@ -111,7 +114,24 @@ def rule_chain(text: Column, rules: list[tuple[str, str]], other: str) -> Column
 
 
 def client_label(agent: Column) -> Column:
-    return rule_chain(F.lower(agent), [("claude", "claude"), ("chatgpt|openai", "chatgpt"), ("cursor", "cursor"), ("curl", "curl"), ("mozilla", "browser")], "other")
+    """claude or chatgpt by what the user agent begins with (fixed values), else other; null is other."""
+    a = F.lower(F.trim(F.coalesce(agent, F.lit(""))))
+    return F.when((a == "claude-user") | a.startswith("claude-user/"), "claude").when(a.startswith("openai-mcp/"), "chatgpt").otherwise("other")
+
+
+def mentioned(text: Column, names: dict[str, list[str]]) -> Column:
+    """The groups whose names the text has, by their first place: the longest names first, whose characters then count for no other."""
+    found = F.array().cast("array<struct<at:int,group:string>>")
+    for name, group in sorted(((n, g) for g, ns in names.items() for n in ns), key=lambda p: -len(p[0])):
+        at = F.instr(text, F.lit(name))
+        found = F.concat(found, F.when(at > 0, F.array(F.struct(at.alias("at"), F.lit(group).alias("group")))).otherwise(F.array().cast("array<struct<at:int,group:string>>")))
+        text = F.replace(text, F.lit(name), F.lit("\x00" * len(name)))
+    return F.array_distinct(F.transform(F.array_sort(found), lambda f: f["group"]))
+
+
+def unit_of(decimals: Column) -> Column:
+    """The last place that a value with so many decimals is given to: 10^-decimals, or 0 if that isn't known."""
+    return F.when(decimals.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(10.0), -decimals))
 
 
 def obs_status(code: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def identity_gaps(rows: DataFrame, left: Column, right: Column, tolerance: float) -> DataFrame:
+def identity_gaps(rows: DataFrame, left: Column, right: Column, tolerance: float | Column) -> DataFrame:
     """Rows whose two sides differ by more than the tolerance."""
     return rows.withColumn("gap", left - right).filter(F.abs("gap") > tolerance)
 

@@ -29,11 +29,12 @@ def in_window(facts: DataFrame, first: int, last: int) -> DataFrame:
     return latest(facts.filter((F.col("doc") == F.col("period")) & F.col("period").between(first, last)), ["company", "basis"])
 
 
-def restated(facts: DataFrame, item: str, unit: float) -> DataFrame:
-    """Periods whose value in another document differs from the newest by more than a unit: key, newest, other, difference."""
-    base = facts.select("company", "basis", "period", "doc", F.col(item).alias("value"))
-    now = newest_by(base, ["company", "basis", "period"], ["value"]).withColumnsRenamed({"doc": "newest_doc", "value": "newest_value"})
-    return base.join(now, ["company", "basis", "period"]).filter((F.col("doc") != F.col("newest_doc")) & (F.abs(F.col("value") - F.col("newest_value")) > unit))
+def restated(facts: DataFrame, item: str, unit: Column, keys: tuple[str, ...] = ("company", "basis", "period")) -> DataFrame:
+    """Keys whose value in another document differs from the newest by more than the greater unit of both."""
+    base = facts.select(*keys, "doc", F.col(item).alias("value"), unit.alias("unit"))
+    now = newest_by(base, list(keys), ["value", "unit"]).withColumnsRenamed({"doc": "newest_doc", "value": "newest_value", "unit": "newest_unit"})
+    off = F.abs(F.col("value") - F.col("newest_value")) > F.greatest("unit", "newest_unit")
+    return base.join(now, list(keys)).filter((F.col("doc") != F.col("newest_doc")) & off)
 
 
 def with_offsets(facts: DataFrame, items: list[str], most: int) -> DataFrame:
@@ -68,7 +69,11 @@ def resolve(queries: DataFrame, names: DataFrame, limit: int = 20) -> DataFrame:
     rest = q.join(exact, "query", "left_anti")
     inside = rest.join(names.select("key", "code"), F.col("key").contains(F.col("q")) & (F.length("q") > 0)).select("query", "code", F.lit(4).alias("tier"))
     found = exact.union(inside).distinct()
-    best = found.withColumn("_t", F.min("tier").over(Window.partitionBy("query"))).filter("tier = _t").groupBy("query", "tier").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("code")).alias("codes"))
+    tier = found.groupBy("query").agg(F.min("tier").alias("tier"))
+    fits = found.join(tier, ["query", "tier"])
+    # only the first codes of a query are gathered, however many there are
+    some = fits.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("code"))).filter(F.col("_n") <= limit)
+    best = fits.groupBy("query").agg(F.count("*").alias("n")).join(some.groupBy("query").agg(F.sort_array(F.collect_list("code")).alias("codes")), "query")
     out = queries.select("query").distinct().join(best, "query", "left")
     status = F.when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "ambiguous").otherwise("found")
     return out.select("query", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n"), F.array_join(F.slice(F.coalesce("codes", F.array().cast("array<string>")), 1, limit), ",").alias("candidates"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import char_shingles, containment, jaccard, tokens
+from quillstone.functions.text import char_shingles, containment, jaccard, mentioned, tokens
 
 #: Saturation, length weight, floor for negative weights, rank constant.
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
@@ -58,16 +60,41 @@ def idf(post: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFram
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """query_id, id, score, rank: the k best chunks of each query; words that the corpus lacks count for nothing."""
+#: Up to so many rows of query terms, or links to texts, are broadcast; beyond, the join is a shuffled one.
+BROADCAST_ROWS = 500_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows with a hint to broadcast them, if a count shows that they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def bm25_scores(queries: DataFrame, chunks: DataFrame, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """query_id, id, score of every chunk that has a query's word; words that the corpus lacks count for nothing.
+
+    Document frequencies are of all chunks; of the chunks' words only those that a query has are counted and shuffled.
+    """
     q = queries.select("query_id", F.explode(tokenizer(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    stats = corpus_stats(chunks, tokenizer)
-    post = postings(chunks, tokenizer)
-    weights = idf(post, stats)
-    hit = q.join(weights, "term").join(post, "term").crossJoin(F.broadcast(stats))
+    words = chunks.select("id", tokenizer(F.col("text")).alias("ts"))
+    stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.coalesce(F.size("ts"), F.lit(0))).alias("avgdl"))
+    df = words.select(F.explode(F.array_distinct("ts")).alias("term"))
+    weighed = q.join(idf(df, stats), "term").drop("df")
+    asked = small(q.select("term").distinct())
+    tf = words.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(asked, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    hit = tf.join(small(weighed), "term").crossJoin(F.broadcast(stats))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    score = hit.groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * F.col("qtf") * weight), 6).alias("score"))
-    return top(score, ["query_id"], k)
+    return hit.groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * F.col("qtf") * weight), 6).alias("score"))
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """query_id, id, score, rank: the k best chunks of each query."""
+    return top(bm25_scores(queries, chunks, tokenizer), ["query_id"], k)
+
+
+def bm25_by(queries: DataFrame, chunks: DataFrame, group: str, k: int, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """query_id, id, group, score, rank: the k best chunks of each query in each group, so that no group crowds out another."""
+    scores = bm25_scores(queries, chunks, tokenizer).join(chunks.select("id", group), "id")
+    return top(scores, ["query_id", group], k)
 
 
 def top(scores: DataFrame, keys: list[str], k: int, score: str = "score") -> DataFrame:
@@ -76,12 +103,45 @@ def top(scores: DataFrame, keys: list[str], k: int, score: str = "score") -> Dat
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Vectors on each side of one comparison.
+VECTOR_BLOCK = 4096
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank by cosine, exactly: a stated, small set of queries against all vectors."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.crossJoin(F.broadcast(queries))
-    norm = F.sqrt(dot(F.col("vector"), F.col("vector"))) * F.sqrt(dot(F.col("query"), F.col("query")))
-    return top(pairs.select("query_id", "id", F.round(F.try_divide(dot(F.col("query"), F.col("vector")), norm), 6).alias("score")), ["query_id"], k)
+    """query_id, id, score, rank by cosine, exactly: all queries against all vectors, block by block.
+
+    A block of queries and one of vectors meet in one row, as matrices; each pair gives the k best of its queries. Empty
+    vectors and those of length 0 have no score; all vectors have the same number of dimensions.
+    """
+
+    def blocks(rows: DataFrame, key: str, vector: str, name: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-rows.count() // VECTOR_BLOCK))
+        rows = rows.select(F.pmod(F.xxhash64(key), F.lit(n)).alias(name), F.struct(F.col(key).alias("id"), F.col(vector).alias("v")).alias("s")).filter(F.size("s.v") > 0)
+        return rows.groupBy(name).agg(F.collect_list("s").alias(name + "_rows")), n
+
+    left, n = blocks(queries, "query_id", "query", "qb")
+    right, _ = blocks(vectors, "id", "vector", "vb")
+    pairs = right.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(left, "qb").select("qb_rows", "vb_rows")
+
+    def matrix(rows) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array([r["id"] for r in rows])
+        m = np.array([r["v"] for r in rows], np.float64)
+        size = np.sqrt((m * m).sum(1))
+        return ids, np.divide(m, size[:, None], out=np.full_like(m, np.nan), where=size[:, None] > 0)
+
+    def compare(frames):
+        for frame in frames:
+            for q_rows, v_rows in zip(frame.qb_rows, frame.vb_rows):
+                (q_ids, q), (v_ids, v) = matrix(q_rows), matrix(v_rows)
+                score = np.round(q @ v.T, 6) + 0.0
+                out = []
+                for i, row in enumerate(score):
+                    best = np.lexsort((v_ids, -row))[:k]
+                    out.append(pd.DataFrame({"query_id": q_ids[i], "id": v_ids[best], "score": row[best]}).dropna())
+                yield pd.concat(out)
+
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    return top(pairs.mapInPandas(compare, schema), ["query_id"], k)
 
 
 def fused(rankings: list[DataFrame], constant: int = RRF) -> DataFrame:
@@ -131,11 +191,18 @@ def round_robin(ranked: DataFrame, group: str, per_group: int, k: int) -> DataFr
     return out.withColumn("merged", F.row_number().over(w)).filter(F.col("merged") <= k).drop("_n", "_best")
 
 
-def near_pairs(pairs: DataFrame, least_jaccard: float = 0.8, least_containment: float = 0.9) -> DataFrame:
-    """Of pairs (a, b, x, y) of texts those that are near by 5-character shingles."""
-    s = pairs.withColumns({"sx": char_shingles(F.regexp_replace("x", r"\s", "")), "sy": char_shingles(F.regexp_replace("y", r"\s", ""))})
-    s = s.withColumns({"jaccard": F.round(jaccard(F.col("sx"), F.col("sy")), 6), "containment": F.round(containment(F.col("sx"), F.col("sy")), 6)})
-    return s.filter((F.col("jaccard") >= least_jaccard) | (F.col("containment") >= least_containment)).select("a", "b", "jaccard", "containment")
+def near_pairs(hits: DataFrame, least_jaccard: float = 0.8, least_containment: float = 0.9) -> DataFrame:
+    """query_id, a, b, jaccard, containment: the near pairs of each query's few hits (query_id, id, text), by 5-character shingles.
+
+    The shingles of each text are made once, as 64-bit hashes, and then meet by query.
+    """
+    one = hits.select("id", "text").dropDuplicates(["id"])
+    sets = one.select("id", F.transform(char_shingles(F.regexp_replace("text", r"\s", "")), lambda s: F.xxhash64(s)).alias("s"))
+    side = lambda end: hits.select("query_id", F.col("id").alias(end))
+    pairs = side("a").join(side("b"), "query_id").filter("a < b")
+    met = pairs.select("a", "b").distinct().join(sets.withColumnsRenamed({"id": "a", "s": "sx"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sy"}), "b")
+    scored = met.select("a", "b", F.round(jaccard(F.col("sx"), F.col("sy")), 6).alias("jaccard"), F.round(containment(F.col("sx"), F.col("sy")), 6).alias("containment"))
+    return pairs.join(scored.filter((F.col("jaccard") >= least_jaccard) | (F.col("containment") >= least_containment)), ["a", "b"]).select("query_id", "a", "b", "jaccard", "containment")
 
 
 def folded(hits: DataFrame, least_jaccard: float = 0.8, least_containment: float = 0.9) -> DataFrame:
@@ -147,7 +214,7 @@ def folded(hits: DataFrame, least_jaccard: float = 0.8, least_containment: float
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         slots = []
         for row in pdf.sort_values("rank").itertuples():
-            text = "".join((row.text or "").split())
+            text = "".join(unicodedata.normalize("NFKC", row.text or "").split())
             mine = {text[i : i + 5] for i in range(max(1, len(text) - 4))}
             for slot in slots:
                 shared = len(mine & slot["set"])
@@ -165,18 +232,25 @@ def folded(hits: DataFrame, least_jaccard: float = 0.8, least_containment: float
     return hits.groupBy("query_id").applyInPandas(fold, "query_id long, id long, rank int, older array<long>")
 
 
-def group_evidence(ranked: DataFrame, group: str, per_group: int) -> DataFrame:
-    """query_id, group, hits, top_score, best id: what each group has on a question."""
-    w = Window.partitionBy("query_id", group).orderBy("rank")
-    some = ranked.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_group)
-    return some.groupBy("query_id", group).agg(F.count("*").alias("hits"), F.max("score").alias("top_score"), F.min_by("id", "rank").alias("best_id"))
+def group_evidence(ranked: DataFrame, group: str, date: str, floor: float) -> DataFrame:
+    """query_id, group, hits, top_score, best_id, earliest, earliest_id: what each group's hits at or above the floor say."""
+    some = ranked.filter(F.col("score") >= floor)
+    first = F.min(F.when(F.col(date).isNotNull(), F.struct(date, "rank", "id"))).alias("e")
+    out = some.groupBy("query_id", group).agg(F.count("*").alias("hits"), F.max("score").alias("top_score"), F.min_by("id", "rank").alias("best_id"), first)
+    return out.select("query_id", group, "hits", "top_score", "best_id", F.col(f"e.{date}").alias("earliest"), F.coalesce("e.id", "best_id").alias("earliest_id"))
 
 
-def decided(evidence: DataFrame, group: str, least: float) -> DataFrame:
-    """query_id, decision: a question that only one group covers is resolved, others are left open."""
-    return evidence.groupBy("query_id").agg(F.count_if(F.col("top_score") >= least).alias("covering"), F.max_by(group, "top_score").alias("best")).select(
-        "query_id", "covering", F.when(F.col("covering") == 1, "resolve").otherwise("abstain").alias("decision"), F.when(F.col("covering") == 1, F.col("best")).alias("answer")
-    )
+def decided(queries: DataFrame, evidence: DataFrame, group: str, only: list[str], first: list[str]) -> DataFrame:
+    """query_id, covering, decision, answer: one group alone covers the question, or the answer is left open.
+
+    A question for the first or greatest is always left open: texts don't tell who was first, however few say so.
+    """
+    found = evidence.groupBy("query_id").agg(F.count("*").alias("covering"), F.max_by(group, "top_score").alias("best"))
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("text"), w))
+    n = F.coalesce("covering", F.lit(0))
+    alone = (n == 1) & (has(only) | ~has(first))
+    out = queries.select("query_id", "text").join(found, "query_id", "left")
+    return out.select("query_id", n.alias("covering"), F.when(alone, "resolve").otherwise("abstain").alias("decision"), F.when(alone, F.col("best")).alias("answer"))
 
 
 def hit_metrics(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -185,7 +259,33 @@ def hit_metrics(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5,
     return best.agg(F.count("*").alias("questions"), *(F.round(F.avg(F.when(F.col("r") <= k, 1.0).otherwise(0.0)), 6).alias(f"hit_{k}") for k in ks), F.round(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
 
 
-def strategy(question: Column, groups: list[str], counting: str = "最初|最も|first|most", comparing: str = "比較|違い|compare|differ") -> Column:
-    """How to search: two named groups and a comparing word, a counting word, one named group, or plainly."""
-    n = F.size(F.filter(F.array(*map(F.lit, groups)), lambda g: F.contains(question, g)))
-    return F.when((n >= 2) & question.rlike(comparing), "coverage").when(question.rlike(counting), "aggregation").when(n == 1, "targeted").otherwise("baseline")
+def containing(items: DataFrame, texts: DataFrame, width: int = 3) -> DataFrame:
+    """(query_id, id): the texts that hold an item's text, both in lower case.
+
+    An item's words but the first and last stand whole in a text that holds it: the first width of them are looked up
+    among the texts' runs of words, and only texts with a hit are searched. Items of too few words are compared with all.
+    """
+    lower = items.select("query_id", F.lower("text").alias("passage")).withColumn("ws", tokens(F.col("passage")))
+    inner = F.slice("ws", 2, width)
+    long, short = lower.filter(F.size("ws") >= width + 2), lower.filter((F.size("ws") < width + 2) & (F.length("passage") > 0))
+    seeds = long.select("query_id", "passage", F.array_join(inner, " ").alias("seed"))
+    ws = texts.select("id", tokens(F.lower("text")).alias("ws")).filter(F.size("ws") >= width)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - width + 1), lambda i: F.array_join(F.slice("ws", i, F.lit(width)), " ")))
+    hit = ws.select("id", F.explode(runs).alias("seed")).join(small(seeds), "seed").select("id", "query_id", "passage")
+    whole = texts.select("id", F.lower("text").alias("whole"))
+    found = whole.join(hit, "id").filter(F.contains("whole", "passage")).select("query_id", "id")
+    few = short.select("query_id", "passage")
+    if not few.isEmpty():
+        found = found.union(whole.join(small(few), F.contains("whole", "passage")).select("query_id", "id"))
+    return found
+
+
+def strategy(question: Column, names: dict[str, list[str]], counting: list[str], covering: list[str]) -> Column:
+    """How to search: targeted at the one group named, aggregation, coverage of groups, or plainly.
+
+    A covering word takes away all names. One named group comes first, even with a counting word; then a counting word;
+    then a covering word or several groups.
+    """
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(question, w))
+    n = F.when(has(covering), 0).otherwise(F.size(mentioned(question, names)))
+    return F.when(n == 1, "targeted").when(has(counting), "aggregation").when(has(covering) | (n >= 2), "coverage").otherwise("baseline")

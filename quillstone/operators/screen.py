@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.periods import months_between
+
 from .expr import NUMBER, Vocabulary, compiled, parse, terms
 from .facts import latest, with_offsets
 
@@ -44,9 +46,14 @@ def evaluated(facts: DataFrame, conditions: list[Condition], words: Vocabulary)
     return out
 
 
-def stale(rows: DataFrame, as_of: int, years: int = 1) -> DataFrame:
-    """With why_stale: the newest period is more than so many years before as_of."""
-    return rows.withColumn("why_stale", F.when(F.lit(as_of) - F.col("period") > years, "stale_period"))
+#: Fixed value: a newest period that ended more months ago is stale.
+STALE_MONTHS = 18
+
+
+def stale(rows: DataFrame, as_of: str, months: int = STALE_MONTHS) -> DataFrame:
+    """With why_stale: the newest period, a year, ended more than so many months before the month as_of (YYYY-MM)."""
+    ended = F.concat(F.col("period").cast("string"), F.lit("-12"))
+    return rows.withColumn("why_stale", F.when(months_between(ended, F.lit(as_of)) > months, "stale_period"))
 
 
 def passes(conditions: list[Condition]):
@@ -70,5 +77,13 @@ def exclusions(rows: DataFrame, conditions: list[Condition], examples: int = 5)
     """condition, reason, n, examples: rows that could not be judged, by each condition's reason."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c.name).alias("condition"), F.col(f"why_{c.name}").alias("reason")) for c in conditions)))
     each = rows.select("company", pairs.alias("p")).select("company", "p.*").filter("reason IS NOT NULL")
-    # bounded: the smallest companies only
-    return each.groupBy("condition", "reason").agg(F.count("*").alias("n"), F.array_join(F.transform(F.slice(F.sort_array(F.collect_set("company")), 1, examples), lambda c: c.cast("string")), ",").alias("examples"))
+    # only the first companies of a reason are gathered, however many there are
+    first = F.row_number().over(Window.partitionBy("condition", "reason").orderBy("company"))
+    some = each.distinct().withColumn("_n", first).filter(F.col("_n") <= examples).groupBy("condition", "reason").agg(F.array_join(F.transform(F.sort_array(F.collect_list("company")), lambda c: c.cast("string")), ",").alias("examples"))
+    return each.groupBy("condition", "reason").agg(F.count("*").alias("n")).join(some, ["condition", "reason"])
+
+
+def unavailable(rows: DataFrame, items: list[str]) -> DataFrame:
+    """item, n: how many rows lack each item, the most frequent first."""
+    gone = F.explode(F.filter(F.array(*(F.when(F.col(i).isNull(), F.lit(i)) for i in items)), lambda x: x.isNotNull()))
+    return rows.select(gone.alias("item")).groupBy("item").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +42,41 @@ def trailing(events: DataFrame, seconds: int) -> DataFrame:
 
 
 def over_limit(events: DataFrame, seconds: int, most: int) -> DataFrame:
-    """user_id, refused: events beyond the limit in a sliding window."""
-    return trailing(events, seconds).groupBy("user_id").agg(F.count_if(F.col("in_window") > most).alias("refused"), F.max("in_window").alias("peak"))
+    """user_id, admitted, refused, peak: a call is refused while most calls of the user's last seconds were admitted.
+
+    Refused calls don't count, and a call exactly so many seconds old has left the window. Each user's calls are
+    followed in order, in a stream of sorted rows: a task holds the times of one window, however many calls there are.
+    """
+    width = seconds * 1_000_000
+
+    def follow(batches):
+        user, held, counts = None, deque(), [0, 0, 0]
+        for batch in batches:
+            out = []
+            for who, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if who != user:
+                    if user is not None:
+                        out.append((user, *counts))
+                    user, held, counts = who, deque(), [0, 0, 0]
+                while held and held[0] <= at - width:
+                    held.popleft()
+                if len(held) >= most:
+                    counts[1] += 1
+                    continue
+                held.append(at)
+                counts[0] += 1
+                counts[2] = max(counts[2], len(held))
+            yield _limits(out)
+        if user is not None:
+            yield _limits([(user, *counts)])
+
+    rows = events.filter("user_id IS NOT NULL AND ts IS NOT NULL").select(F.col("user_id").cast("long"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "at").mapInArrow(follow, "user_id long, admitted long, refused long, peak long")
+
+
+def _limits(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["user_id", "admitted", "refused", "peak"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names)
 
 
 def followed(events: DataFrame, first: str, then: str, within: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import unit_of
 from quillstone.operators import checks, curation, screen, trend
 from quillstone.operators import facts as ops
 from quillstone.operators.expr import Vocabulary
@@ -32,9 +33,10 @@ def facts_in_window(spark, sf):
 
 
 @query(f"""WITH {FACTS}, n AS ({LATEST}) SELECT f.company, f.basis, f.period, f.doc, n.doc AS newest_doc, round(CAST(f.quantity - n.quantity AS DOUBLE), 4) AS diff
-    FROM facts f JOIN n ON f.company = n.company AND f.basis = n.basis AND f.period = n.period AND n.doc = n.newest WHERE f.doc <> n.doc AND abs(f.quantity - n.quantity) > 1""")
+    FROM facts f JOIN n ON f.company = n.company AND f.basis = n.basis AND f.period = n.period AND n.doc = n.newest WHERE f.doc <> n.doc AND abs(f.quantity - n.quantity) > greatest(CASE WHEN f.doc % 2 = 0 THEN 10 ELSE 1 END, CASE WHEN n.doc % 2 = 0 THEN 10 ELSE 1 END)""")
 def facts_restated(spark, sf):
-    return ops.restated(facts(spark, sf), "quantity", 1).select("company", "basis", "period", "doc", "newest_doc", F.round((F.col("value") - F.col("newest_value")).cast("double"), 4).alias("diff"))
+    unit = unit_of(F.when(F.col("doc") % 2 == 0, -1).otherwise(0))  # even years are given in tens
+    return ops.restated(facts(spark, sf), "quantity", unit).select("company", "basis", "period", "doc", "newest_doc", F.round((F.col("value") - F.col("newest_value")).cast("double"), 4).alias("diff"))
 
 
 WIDE = """w AS (SELECT *, lead(revenue, 1) OVER o AS revenue_1, lead(period, 1) OVER o AS period_1, lead(gross, 1) OVER o AS gross_1, max(doc) OVER (PARTITION BY company, basis) AS newest, max(period) OVER (PARTITION BY company, basis, doc) AS top
@@ -67,10 +69,10 @@ def screen_excluded_reasons(spark, sf):
     return screen.exclusions(screen.evaluated(facts(spark, sf, "o_custkey"), BOTH, WORDS), BOTH)
 
 
-@query(f"WITH {CUSTOMER_FACTS}, t AS (SELECT company, basis, max(period) AS period FROM facts GROUP BY 1, 2) SELECT CASE WHEN 2001 - period > 1 THEN 'stale_period' ELSE 'current' END AS status, count(*) AS n FROM t GROUP BY 1")
+@query(f"WITH {CUSTOMER_FACTS}, t AS (SELECT company, basis, max(period) AS period FROM facts GROUP BY 1, 2) SELECT CASE WHEN (2001 * 12 + 6) - (period * 12 + 12) > 18 THEN 'stale_period' ELSE 'current' END AS status, count(*) AS n FROM t GROUP BY 1")
 def screen_stale(spark, sf):
     top = facts(spark, sf, "o_custkey").groupBy("company", "basis").agg(F.max("period").alias("period"))
-    return screen.stale(top, 2001).groupBy(F.coalesce("why_stale", F.lit("current")).alias("status")).agg(F.count("*").alias("n"))
+    return screen.stale(top, "2001-06").groupBy(F.coalesce("why_stale", F.lit("current")).alias("status")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {FACTS} SELECT company, period, CASE WHEN bool_or(basis = 'consolidated') THEN 'consolidated' ELSE 'non_consolidated' END AS basis FROM facts WHERE doc = 2000 GROUP BY 1, 2")
@@ -179,8 +181,9 @@ def share_jump(spark, sf):
 
 @query(f"WITH {FACTS} SELECT count(*) AS n_rows, count(*) FILTER (abs(gross - revenue) > gross * 0.052) AS gaps FROM facts")
 def identity_check(spark, sf):
-    f = facts(spark, sf).withColumn("off", (F.abs(F.col("gross") - F.col("revenue")) > F.col("gross") * F.lit(0.052).cast("decimal(4,3)")))
-    return f.agg(F.count("*").alias("n_rows"), F.count_if("off").alias("gaps"))
+    f = facts(spark, sf)
+    gaps = checks.identity_gaps(f, F.col("gross"), F.col("revenue"), F.col("gross") * F.lit(0.052).cast("decimal(4,3)"))
+    return f.agg(F.count("*").alias("n_rows")).crossJoin(gaps.agg(F.count("*").alias("gaps")))
 
 
 @query("""WITH a AS (SELECT l_orderkey AS k, sum(CAST(l_quantity AS DECIMAL(12,2))) AS v FROM lineitem GROUP BY 1), b AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(12,2)) AS v FROM orders)
@@ -191,12 +194,12 @@ def reconcile_sources(spark, sf):
     return checks.reconciled(a, b, ["k"], 0.001, 100).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""WITH m AS (SELECT DISTINCT n_regionkey AS k, CAST(year(o_orderdate) AS INTEGER) AS period, o_orderpriority || '/' || month(o_orderdate) AS member FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 470000),
+@query("""WITH m AS (SELECT DISTINCT n_regionkey AS k, CAST(year(o_orderdate) AS INTEGER) AS period, o_orderpriority || '/' || strftime(o_orderdate, '%m-%d') AS member FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey ),
     s AS (SELECT k, period, list_sort(list(member)) AS now FROM m GROUP BY 1, 2), b AS (SELECT *, lag(now) OVER (PARTITION BY k ORDER BY period) AS before FROM s)
     SELECT k, period, array_to_string(list_filter(now, lambda x: NOT list_contains(before, x)), ';') AS added, array_to_string(list_filter(before, lambda x: NOT list_contains(now, x)), ';') AS removed FROM b WHERE before IS NOT NULL""")
 def regroup_diff(spark, sf):
-    o = table(spark, sf, "orders").filter("o_totalprice > 470000").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = o.select(F.col("n_regionkey").alias("k"), F.year("o_orderdate").alias("period"), F.concat("o_orderpriority", F.lit("/"), F.month("o_orderdate")).alias("member"))
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = o.select(F.col("n_regionkey").alias("k"), F.year("o_orderdate").alias("period"), F.concat("o_orderpriority", F.lit("/"), F.date_format("o_orderdate", "MM-dd")).alias("member"))
     out = checks.regrouped(rows, ["k"], "period", "member")
     return out.select("k", "period", F.array_join("added", ";").alias("added"), F.array_join("removed", ";").alias("removed"))
 
@@ -214,11 +217,13 @@ def upsert_by_doc(spark, sf):
     return curation.upsert_by(old, new, "o_custkey").groupBy("v").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("docs"))
 
 
-@query("""WITH c AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0), s AS (SELECT * FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH c AS (SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN '' ELSE c_mktsegment END AS c_mktsegment FROM customer), s AS (SELECT c_custkey + 10 AS c_custkey, c_name, c_mktsegment FROM customer)
     SELECT coalesce(c.c_custkey, s.c_custkey) AS c_custkey, CASE WHEN s.c_custkey IS NULL THEN c.c_mktsegment WHEN c.c_mktsegment <> '' THEN c.c_mktsegment ELSE s.c_mktsegment END AS c_mktsegment, CASE WHEN s.c_custkey IS NULL THEN c.c_name ELSE s.c_name || '!' END AS c_name FROM c FULL JOIN s ON c.c_custkey = s.c_custkey""")
 def upsert_sticky(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_name")
-    return curation.upsert_sticky(c.filter("c_custkey % 3 <> 0"), c.filter("c_custkey % 2 = 0").withColumn("c_name", F.concat("c_name", F.lit("!"))), "c_custkey", ["c_mktsegment"])
+    old = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), "c_name")
+    new = c.select((F.col("c_custkey") + 10).alias("c_custkey"), "c_mktsegment", F.concat("c_name", F.lit("!")).alias("c_name"))
+    return curation.upsert_sticky(old, new, "c_custkey", ["c_mktsegment"])
 
 
 @query(f"WITH {FACTS} SELECT basis, count(*) AS n_rows, round(CAST(sum(revenue) AS DOUBLE), 2) AS revenue FROM facts GROUP BY 1")

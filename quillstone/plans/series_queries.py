@@ -57,7 +57,10 @@ def series_search(spark, sf):
 def series_catalog(spark, sf):
     v = series_values(spark, sf)
     one = v.groupBy("series_id", "org", "measure", "freq").agg(F.min("year").alias("lo"), F.max("year").alias("hi"))
-    return one.groupBy("org", "measure").agg(F.count("*").alias("series_count"), F.array_join(F.sort_array(F.collect_set("freq")), ",").alias("freqs"), F.array_join(F.slice(F.sort_array(F.collect_list("series_id")), 1, 4), ",").alias("examples"), F.min("lo").alias("first_year"), F.max("hi").alias("last_year"))
+    first = F.row_number().over(Window.partitionBy("org", "measure").orderBy("series_id"))
+    some = one.withColumn("n", first).filter("n <= 4").groupBy("org", "measure").agg(F.array_join(F.sort_array(F.collect_list("series_id")), ",").alias("examples"))
+    out = one.groupBy("org", "measure").agg(F.count("*").alias("series_count"), F.array_join(F.sort_array(F.collect_set("freq")), ",").alias("freqs"), F.min("lo").alias("first_year"), F.max("hi").alias("last_year"))
+    return out.join(some, ["org", "measure"]).orderBy("org", "measure")
 
 
 @query(f"WITH {SERIES} SELECT org, count(*) AS series_count, count(*) FILTER (n > 60) AS with_values FROM (SELECT org, series_id, count(*) AS n FROM sv GROUP BY 1, 2) GROUP BY 1")
@@ -128,9 +131,9 @@ def period_shift(spark, sf):
     return rows.select("period", p["freq"].alias("freq"), p["year"].alias("year"), p["sub"].alias("sub"), shifted(F.col("period"), F.lit(3)).alias("later"))
 
 
-@query("SELECT * FROM (VALUES ('令和8年度', 2026), ('平成元年度', 1989), ('S60', 1985), ('Ｈ元', 1989), ('昭和 42', 1967), ('明日', NULL)) AS t(era, year)")
+@query("SELECT * FROM (VALUES ('令和8年度', 2026), ('平成元年度', 1989), ('S60', 1985), ('Ｈ元', 1989), ('昭和 42', 1967), ('明日', NULL), ('令和8年', NULL)) AS t(era, year)")
 def era_years(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ["令和8年度", "平成元年度", "S60", "Ｈ元", "昭和 42", "明日"]], "era string")
+    rows = spark.createDataFrame([(x,) for x in ["令和8年度", "平成元年度", "S60", "Ｈ元", "昭和 42", "明日", "令和8年"]], "era string")
     return rows.select("era", era_year(F.col("era")).alias("year"))
 
 

@@ -52,11 +52,11 @@ def bm25_topk(spark, sf):
 
 def _dense(spark, sf, k=10):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = v.filter(F.col("id").isin(1, 7, 23, 42)).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    q = v.filter(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     return rt.dense(q, v, k)
 
 
-DENSE = """dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id IN (1, 7, 23, 42)) q)) WHERE rank <= 10)"""
+DENSE = """dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)) WHERE rank <= 10)"""
 
 
 @query(f"WITH {DENSE} SELECT query_id, id, score, rank FROM dn")
@@ -77,14 +77,31 @@ def interleave_pools(spark, sf):
     return rt.interleaved([_ranked(spark, sf), _dense(spark, sf)], 12)
 
 
-@query(f"WITH {CHUNKS} SELECT layer, org, count(*) AS n FROM ch WHERE layer = 'public' AND org IN ('src1', 'src2', 'src3') AND size BETWEEN 500 AND 5000 GROUP BY 1, 2")
+ORGS = ["src1", "src2", "src3"]
+PAIRS = "(SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+@query(f"""WITH {CTE.replace("WHERE layer = 'public'", "WHERE layer = 'public' AND org IN ('src1', 'src2', 'src3') AND size BETWEEN 100 AND 5000")},
+    dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(q.v, v.v), 6) AS score FROM (SELECT * FROM {PAIRS} WHERE id IN (SELECT item_id FROM benchmark)) q, {PAIRS} v WHERE v.id IN (SELECT id FROM pub)) QUALIFY rank <= 10), {{FUSE}}
+    SELECT * FROM (SELECT query_id, id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, id) AS rank FROM fu) WHERE rank <= 10""".replace("{FUSE}", FUSE))
 def hybrid_filtered(spark, sf):
-    c = chunks(spark, sf).withColumn("date_int", F.col("size"))
-    return rt.search_filter(c, PUBLIC, ["src1", "src2", "src3"], 500, 5000).groupBy("layer", "org").agg(F.count("*").alias("n"))
+    """Word and vector search under one filter, fused; chunk and item i have vector i."""
+    pool = rt.search_filter(chunks(spark, sf).withColumn("date_int", F.col("size")), PUBLIC, ORGS, 100, 5000)
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    items = _queries(spark, sf)
+    q = v.join(items, F.col("id") == F.col("query_id"), "left_semi").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    out = rt.fused([rt.bm25(items, pool, 10), rt.dense(q, v.join(pool.select("id"), "id", "left_semi"), 10)])
+    return out.filter("rank <= 10").select("query_id", "id", F.round("score", 9).alias("score"), "rank")
 
 
 @query("SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0) THEN 'public' ELSE 'restricted' END AS layer, count(*) AS n FROM documents GROUP BY 1")
 def layer_guard(spark, sf):
+    try:
+        rt.require_layer(chunks(spark, sf), [])
+    except rt.LayerError:
+        pass
+    else:
+        raise AssertionError("a search without a layer went through")
     return chunks(spark, sf).groupBy("layer").agg(F.count("*").alias("n"))
 
 
@@ -100,29 +117,42 @@ def per_doc_cap(spark, sf):
     return rt.capped(r, "org", 2).select("query_id", "id", "rank", "org")
 
 
-LANGS = f"WITH {CTE}, r AS (SELECT bm.*, lang FROM bm JOIN (SELECT id, lang FROM pub) p USING (id))"
+LANGS = f"WITH {CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, id) AS rank FROM (SELECT bs.*, lang FROM bs JOIN (SELECT id, lang FROM pub) p USING (id)) QUALIFY rank <= 5)"
+
 
+def _by_lang(spark, sf):
+    pool = _public(spark, sf)
+    return rt.bm25_by(_queries(spark, sf), pool.select("id", "text", "lang"), "lang", 5)
 
-@query(f"{LANGS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY rank) AS n, max(score) OVER (PARTITION BY query_id, lang) AS best FROM r), u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n, best DESC, lang) AS merged FROM t WHERE n <= 3) SELECT query_id, id, lang, merged FROM u WHERE merged <= 8")
+
+@query(f"{LANGS}, t AS (SELECT *, max(score) OVER (PARTITION BY query_id, lang) AS best FROM r WHERE rank <= 3), u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, best DESC, lang) AS merged FROM t) SELECT query_id, id, lang, merged FROM u WHERE merged <= 8")
 def coverage_fanout(spark, sf):
-    r = _ranked(spark, sf).join(_public(spark, sf).select("id", "lang"), "id")
-    return rt.round_robin(r, "lang", 3, 8).select("query_id", "id", "lang", "merged")
+    """Each language is searched by itself, so that none crowds out another."""
+    return rt.round_robin(_by_lang(spark, sf), "lang", 3, 8).select("query_id", "id", "lang", "merged")
+
 
+ONLY, FIRST = ["the", " la "], ["que", "nde"]
+HAS = lambda words: "(" + " OR ".join(f"contains(text, '{w}')" for w in words) + ")"
 
-@query(f"{LANGS}, e AS (SELECT query_id, lang, max(score) AS top FROM r GROUP BY 1, 2) SELECT query_id, count(*) FILTER (top >= 100) AS covering, CASE WHEN count(*) FILTER (top >= 100) = 1 THEN 'resolve' ELSE 'abstain' END AS decision, CASE WHEN count(*) FILTER (top >= 100) = 1 THEN arg_max(lang, top) END AS answer FROM e GROUP BY 1")
+
+@query(f"""{LANGS}, h AS (SELECT r.*, size AS day FROM r JOIN (SELECT id, size FROM pub) p USING (id) WHERE score >= 20), e AS (SELECT query_id, lang, max(score) AS top FROM h GROUP BY 1, 2), c AS (SELECT query_id, count(*) AS n, arg_max(lang, top) AS best FROM e GROUP BY 1)
+    SELECT item_id AS query_id, coalesce(n, 0) AS covering, CASE WHEN n = 1 AND ({HAS(ONLY)} OR NOT {HAS(FIRST)}) THEN 'resolve' ELSE 'abstain' END AS decision, CASE WHEN n = 1 AND ({HAS(ONLY)} OR NOT {HAS(FIRST)}) THEN best END AS answer FROM benchmark LEFT JOIN c ON query_id = item_id""")
 def aggregation_scan(spark, sf):
-    r = _ranked(spark, sf).join(_public(spark, sf).select("id", "lang"), "id")
-    return rt.decided(rt.group_evidence(r, "lang", 10), "lang", 100)
+    hits = _by_lang(spark, sf).join(_public(spark, sf).select("id", F.col("size").alias("day")), "id")
+    return rt.decided(_queries(spark, sf), rt.group_evidence(hits, "lang", "day", 20), "lang", ONLY, FIRST)
+
+
+@query(f"""{LANGS}, h AS (SELECT r.*, size AS day FROM r JOIN (SELECT id, size FROM pub) p USING (id) WHERE score >= 20) SELECT query_id, lang, count(*) AS hits, arg_min(id, rank) AS best_id, min(day) AS earliest, arg_min(id, (day, rank)) AS earliest_id FROM h GROUP BY 1, 2""")
+def group_evidence(spark, sf):
+    hits = _by_lang(spark, sf).join(_public(spark, sf).select("id", F.col("size").alias("day")), "id")
+    return rt.group_evidence(hits, "lang", "day", 20).select("query_id", "lang", "hits", "best_id", "earliest", "earliest_id")
 
 
 HOLDS = "gold AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)))"
 
 
 def _gold(spark, sf):
-    """Which document holds which benchmark text: the few, short items are compared with every document."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("passage"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("whole"))
-    return d.join(b, F.contains("whole", "passage")).select("query_id", "id")
+    return rt.containing(_queries(spark, sf), table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query(f"WITH {HOLDS} SELECT query_id, id FROM gold")
@@ -136,15 +166,15 @@ def retrieval_metrics(spark, sf):
     return rt.hit_metrics(_ranked(spark, sf), gold)
 
 
-SHORT = "SELECT doc_id, text, source, lang, regexp_replace(text, '\\s', '', 'g') AS t FROM documents WHERE n_chars BETWEEN 200 AND 700"
-
-
-@query(f"""WITH d AS ({SHORT}), s AS (SELECT doc_id, left(t, 20) AS k, list_distinct([substr(t, i, 5) FOR i IN range(1, length(t) - 3)]) AS s FROM d), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) AS n, len(a.s) AS x, len(b.s) AS y FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id)
-    SELECT a, b, round(n / (x + y - n), 6) AS jaccard, round(n / least(x, y), 6) AS containment FROM p WHERE round(n / (x + y - n), 6) >= 0.8 OR round(n / least(x, y), 6) >= 0.9""")
+@query(f"""WITH {CTE}, t AS (SELECT id, regexp_replace(text, '\\s', '', 'g') AS t FROM pub WHERE id IN (SELECT id FROM bm)), s AS (SELECT id, list_distinct(CASE WHEN length(t) < 5 THEN [t] ELSE [substr(t, i, 5) FOR i IN range(1, length(t) - 3)] END) AS s FROM t),
+    sh AS MATERIALIZED (SELECT id, unnest(s) AS s FROM s), hits AS MATERIALIZED (SELECT query_id, id FROM bm), k AS MATERIALIZED (SELECT DISTINCT x.id AS a, y.id AS b FROM hits x JOIN hits y ON x.query_id = y.query_id AND x.id < y.id),
+    c AS (SELECT id, count(*) AS c FROM sh GROUP BY 1), o AS (SELECT a, b, count(*) AS n FROM k JOIN sh u ON u.id = a JOIN sh v ON v.id = b AND v.s = u.s GROUP BY 1, 2), p AS (SELECT a, b, n, x.c AS x, y.c AS y FROM o JOIN c x ON x.id = a JOIN c y ON y.id = b),
+    f AS MATERIALIZED (SELECT a, b, round(n / (x + y - n), 6) AS jaccard, round(n / least(x, y), 6) AS containment FROM p WHERE round(n / (x + y - n), 6) >= 0.8 OR round(n / least(x, y), 6) >= 0.9)
+    SELECT x.query_id, a, b, jaccard, containment FROM f JOIN hits x ON x.id = a JOIN hits y ON y.id = b AND y.query_id = x.query_id""")
 def near_dup_pairs(spark, sf):
-    d = table(spark, sf, "documents").filter("n_chars BETWEEN 200 AND 700").select("doc_id", "text", F.substring(F.regexp_replace("text", r"\s", ""), 1, 20).alias("k"))
-    a, b = d.select(F.col("doc_id").alias("a"), F.col("text").alias("x"), "k"), d.select(F.col("doc_id").alias("b"), F.col("text").alias("y"), "k")
-    return rt.near_pairs(a.join(b, "k").filter("a < b"))
+    """Near pairs among each query's hits, as they are shown together."""
+    hits = _ranked(spark, sf).join(_public(spark, sf).select("id", "text"), "id")
+    return rt.near_pairs(hits)
 
 
 @query()
@@ -159,20 +189,20 @@ def chunk_fixed(spark, sf):
     return table(spark, sf, "documents").select("doc_id", c.alias("c")).select("doc_id", F.size("c").alias("n_chunks"), F.length(F.element_at("c", -1)).cast("long").alias("last_length"))
 
 
-@query("WITH s AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(text, '([.!?。！？])', '\\1\n', 'g'), chr(10))) AS s FROM conversations) SELECT conv_id, turn, count(*) FILTER (trim(s) <> '') AS n_sentences FROM s GROUP BY 1, 2")
+@query("WITH s AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(text, '([。！？])', '\\1\n', 'g'), chr(10))) AS s FROM conversations) SELECT conv_id, turn, count(*) FILTER (trim(s) <> '') AS n_sentences FROM s GROUP BY 1, 2")
 def sentence_split(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(tx.sentences(F.col("text"))).cast("long").alias("n_sentences"))
 
 
 @query()
 def unit_split(spark, sf):
-    parts = tx.bounded_parts(tx.sentences(F.col("text")), 600)
+    parts = tx.bounded_parts(tx.sentences(F.col("text"), ".!?。！？"), 600)
     return table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(parts).alias("part", "text")).select("conv_id", "turn", "part", F.length("text").alias("n_chars"))
 
 
 @query()
 def unit_merge(spark, sf):
-    s = table(spark, sf, "conversations").select("conv_id", "role", "turn", F.posexplode(tx.sentences(F.col("text"))).alias("n", "text")).withColumn("order", F.col("turn") * 10000 + F.col("n"))
+    s = table(spark, sf, "conversations").select("conv_id", "role", "turn", F.posexplode(tx.sentences(F.col("text"), ".!?。！？")).alias("n", "text")).withColumn("order", F.col("turn") * 10000 + F.col("n"))
     return curation.merged_units(s, ["conv_id"], "order", "role", 600).select("conv_id", "island", "role", "part", F.length("text").alias("n_chars"))
 
 
@@ -223,10 +253,10 @@ def incremental_anti_join(spark, sf):
     return curation.not_yet(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id").select("doc_id", "source")
 
 
-@query("SELECT DISTINCT c_name FROM customer WHERE c_custkey % 2 = 0 AND c_mktsegment NOT IN (SELECT c_mktsegment FROM customer WHERE c_custkey < 3) AND NOT EXISTS (SELECT 1 FROM supplier WHERE starts_with(replace(s_name, 'Supplier', 'Customer') || '_', c_name || '_'))")
+@query("SELECT DISTINCT c_name FROM customer WHERE c_mktsegment NOT IN (SELECT c_mktsegment FROM customer WHERE c_custkey < 3) AND NOT EXISTS (SELECT 1 FROM supplier WHERE starts_with(replace(s_name, 'Supplier', 'Customer') || '_', c_name || '_'))")
 def new_by_prefix(spark, sf):
     c = table(spark, sf, "customer")
-    fresh = curation.not_yet(c.filter("c_custkey % 2 = 0"), c.filter("c_custkey < 3"), "c_mktsegment").select("c_name").distinct()
+    fresh = curation.not_yet(c, c.filter("c_custkey < 3"), "c_mktsegment").select("c_name").distinct()
     old = table(spark, sf, "supplier").select(F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("c_name"))
     return curation.not_yet_by_prefix(fresh, old, "c_name")
 
@@ -241,9 +271,22 @@ def freshness_by_group(spark, sf):
     return chunks(spark, sf).groupBy(F.col("org").alias("source")).agg(F.max("id").alias("latest"), F.count_if(F.col("layer") == "public").alias("n_public"))
 
 
-@query("SELECT item_id, CASE WHEN regexp_matches(text, 'first|most') THEN 'aggregation' WHEN contains(text, 'The') THEN 'targeted' ELSE 'baseline' END AS strategy FROM benchmark")
+NAMES = {"one": ["the", "then the"], "two": ["ción", "ci"], "three": ["ent"], "four": ["ein"]}
+COUNTING, COVERING = ["qu", "ea"], ["sch"]
+MASKED = """m1 AS (SELECT item_id, text, instr(text, 'then the') AS p1, replace(text, 'then the', '########') AS t1 FROM benchmark), m2 AS (SELECT *, instr(t1, 'ción') AS p2, replace(t1, 'ción', '####') AS t2 FROM m1),
+    m3 AS (SELECT *, instr(t2, 'the') AS p3, replace(t2, 'the', '###') AS t3 FROM m2), m4 AS (SELECT *, instr(t3, 'ent') AS p4, replace(t3, 'ent', '###') AS t4 FROM m3), m5 AS (SELECT *, instr(t4, 'ein') AS p5, replace(t4, 'ein', '###') AS t5 FROM m4), m6 AS (SELECT *, instr(t5, 'ci') AS p6 FROM m5),
+    u AS (SELECT item_id, unnest([{'p': p1, 'g': 'one'}, {'p': p3, 'g': 'one'}, {'p': p2, 'g': 'two'}, {'p': p6, 'g': 'two'}, {'p': p4, 'g': 'three'}, {'p': p5, 'g': 'four'}]) AS s FROM m6),
+    g AS (SELECT item_id, s.g AS g, min(s.p) AS p FROM u WHERE s.p > 0 GROUP BY 1, 2), named AS (SELECT item_id, string_agg(g, ',' ORDER BY p) AS named, count(*) AS n FROM g GROUP BY 1)"""
+
+
+@query(f"WITH {MASKED} SELECT b.item_id, coalesce(named, '') AS named FROM benchmark b LEFT JOIN named USING (item_id)")
+def mention_detect(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(tx.mentioned(F.col("text"), NAMES), ",").alias("named"))
+
+
+@query(f"WITH {MASKED}, k AS (SELECT b.item_id, text, CASE WHEN {HAS(COVERING)} THEN 0 ELSE coalesce(n, 0) END AS n FROM benchmark b LEFT JOIN named USING (item_id)) SELECT item_id, CASE WHEN n = 1 THEN 'targeted' WHEN {HAS(COUNTING)} THEN 'aggregation' WHEN {HAS(COVERING)} OR n >= 2 THEN 'coverage' ELSE 'baseline' END AS strategy FROM k")
 def strategy_classifier(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", rt.strategy(F.col("text"), ["The"]).alias("strategy"))
+    return table(spark, sf, "benchmark").select("item_id", rt.strategy(F.col("text"), NAMES, COUNTING, COVERING).alias("strategy"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS head FROM documents")

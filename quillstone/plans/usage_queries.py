@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import client_label
 from quillstone.operators import usage
 from quillstone.plans.adapters import table
 from quillstone.plans.catalog import query
@@ -27,9 +28,28 @@ def usage_people(spark, sf):
     return usage.people(table(spark, sf, "events"), "view").withColumn("week", F.col("week").cast("string"))
 
 
-@query("""SELECT user_id, count(*) FILTER (n > 2) AS refused, max(n) AS peak FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+    w(user_id, rn, older, newer, admitted, refused, peak) AS (SELECT user_id, rn, NULL::BIGINT, t, 1, 0, 1 FROM e WHERE rn = 1
+        UNION ALL SELECT w.user_id, e.rn, CASE WHEN older > t - 86400000000 THEN older ELSE newer END, CASE WHEN older > t - 86400000000 THEN newer ELSE t END,
+            admitted + CASE WHEN older > t - 86400000000 THEN 0 ELSE 1 END, refused + CASE WHEN older > t - 86400000000 THEN 1 ELSE 0 END, greatest(peak, CASE WHEN newer > t - 86400000000 THEN 2 ELSE 1 END)
+        FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
+    SELECT user_id, CAST(arg_max(admitted, rn) AS BIGINT) AS admitted, CAST(arg_max(refused, rn) AS BIGINT) AS refused, CAST(max(peak) AS BIGINT) AS peak FROM w GROUP BY 1""")
 def rate_limit(spark, sf):
-    return usage.over_limit(table(spark, sf, "events"), 3600, 2)
+    return usage.over_limit(table(spark, sf, "events"), 86400, 2)
+
+
+@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events")
+def trailing_calls(spark, sf):
+    return usage.trailing(table(spark, sf, "events"), 3600).select("event_id", "user_id", "in_window")
+
+
+AGENTS = ["Claude-User", "claude-user/1.0 (x)", " CLAUDE-USER ", "claude-user2", "openai-mcp/1.0.0", "openai-mcp", "Mozilla/5.0", "", None]
+LABELS = ["claude", "claude", "claude", "other", "chatgpt", "other", "other", "other", "other"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({n}, '{label}')" for n, label in enumerate(LABELS)) + ") AS t(n, label)")
+def client_labels(spark, sf):
+    return spark.createDataFrame(list(enumerate(AGENTS)), "n int, agent string").select("n", client_label(F.col("agent")).alias("label"))
 
 
 @query("SELECT user_id, count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10")
@@ -49,11 +69,11 @@ def triage_candidates(spark, sf):
     return usage.triaged(table(spark, sf, "events").filter("event_type <> 'error'"), "user_id", 5, 60)
 
 
-@query(f"WITH o AS (SELECT {WEEK} AS week, count(*) AS calls FROM events WHERE event_id % 2 = 0 OR ts < TIMESTAMP '2024-01-10' GROUP BY 1), n AS (SELECT {WEEK} AS week, count(*) AS calls FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1) SELECT coalesce(o.week, n.week) AS week, greatest(o.calls, n.calls) AS calls, CASE WHEN n.calls >= o.calls OR o.calls IS NULL THEN 'new' ELSE 'old' END AS taken FROM o FULL JOIN n ON o.week = n.week")
+@query(f"WITH o AS (SELECT {WEEK} AS week, count(*) AS calls FROM events WHERE event_type <> 'view' OR ts < TIMESTAMP '2024-01-10' GROUP BY 1), n AS (SELECT {WEEK} AS week, count(*) AS calls FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1) SELECT coalesce(o.week, n.week) AS week, greatest(o.calls, n.calls) AS calls, CASE WHEN n.calls >= o.calls OR o.calls IS NULL THEN 'new' ELSE 'old' END AS taken FROM o FULL JOIN n ON o.week = n.week")
 def weekly_merge(spark, sf):
     e = table(spark, sf, "events")
     part = lambda some: usage.weekly(some, []).select(F.col("week").cast("string").alias("week"), "calls")
-    return usage.weekly_merge(part(e.filter("event_id % 2 = 0 OR ts < TIMESTAMP_NTZ '2024-01-10'")), part(e.filter("ts >= TIMESTAMP_NTZ '2024-01-10'")))
+    return usage.weekly_merge(part(e.filter("event_type <> 'view' OR ts < TIMESTAMP_NTZ '2024-01-10'")), part(e.filter("ts >= TIMESTAMP_NTZ '2024-01-10'")))
 
 
 @query("WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 12 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM s) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n FROM k GROUP BY 1, 2")

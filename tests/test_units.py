@@ -57,7 +57,10 @@ def test_text_functions(spark):
     value = lambda c: one.select(c).first()[0]
     assert value(text.name_key(F.lit("ＡＢＣ 株式会社"))) == "abc"
     assert value(text.char_shingles(F.lit("abcdef"))) == ["abcde", "bcdef"] and value(text.char_shingles(F.lit("abc"))) == ["abc"]
-    assert value(text.sentences(F.lit("One. Two!\nThree。四"))) == ["One.", "Two!", "Three。", "四"]
+    assert value(text.sentences(F.lit("v. 2.0 Two!\nThree。四"))) == ["v. 2.0 Two!", "Three。", "四"]
+    assert value(text.sentences(F.lit("One. Two!\nThree。四"), ".!?。！？")) == ["One.", "Two!", "Three。", "四"]
+    assert [value(text.client_label(F.lit(a))) for a in ("Claude-User/2", "claude-users", "openai-mcp/1", "openai-mcp", None)] == ["claude", "other", "chatgpt", "other", "other"]
+    assert value(text.mentioned(F.lit("the abc, a"), {"x": ["abc"], "y": ["a", "the a"]})) == ["y"]
     assert value(text.bounded_parts(F.array(*map(F.lit, ["aa", "bb", "cccccccc", "d"])), 5)) == ["aa bb", "cccccccc", "d"]
     assert [value(text.column_letters(F.lit(i))) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
     assert value(text.plain_decimal(F.lit("1.500").cast("decimal(10,3)"))) == "1.5"

@@ -86,3 +86,17 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CHUNKS = """ch AS (SELECT doc_id AS id, text, source AS org, lang, n_chars AS size, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0) THEN 'public' ELSE 'restricted' END AS layer FROM documents)"""
+
+
+def segments(spark: SparkSession, sf: str) -> DataFrame:
+    """company, doc, period, member, value: quantities by priority; document Y has Y and Y - 1. 3-MEDIUM is named without figures."""
+    items = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("company"), F.year("l_shipdate").alias("shipped"), F.col("l_quantity").cast("decimal(12,2)").alias("q"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("member"), F.year("o_orderdate").alias("period"))
+    each = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("company", "member", "period", F.greatest("period", "shipped").alias("rec")).agg(F.sum("q").alias("q"))
+    each = each.filter(F.col("rec") <= F.col("period") + 1).withColumn("doc", F.explode(F.sequence("rec", F.col("period") + 1)))
+    return each.groupBy("company", "doc", "period", "member").agg(F.sum(F.when(F.col("member") != "3-MEDIUM", F.col("q"))).cast("double").alias("value"))
+
+
+SEGMENTS = """sg AS (SELECT company, CAST(doc AS INTEGER) AS doc, period, member, CAST(sum(CASE WHEN member <> '3-MEDIUM' THEN q END) AS DOUBLE) AS value
+    FROM (SELECT l_suppkey AS company, o_orderpriority AS member, CAST(year(o_orderdate) AS INTEGER) AS period, greatest(year(o_orderdate), year(l_shipdate)) AS rec, sum(CAST(l_quantity AS DECIMAL(12,2))) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4) e
+    JOIN (SELECT unnest(range(1990, 2010)) AS doc) d ON doc BETWEEN rec AND period + 1 GROUP BY 1, 2, 3, 4)"""

@@ -13,24 +13,31 @@ from quillstone.llm.quality import fit, scored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model, learned from the labels, does not reject."""
+    """Documents that the quality model, learned from the labels, does not reject; without usable labels all stay.
+
+    Null and empty texts are judged alike, by what the model makes of an empty text; ids don't matter.
+    """
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored(docs, model).filter("predicted = 1").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each text, A-Z lower-cased: the one with the largest doc_id; null counts as empty."""
     return exact_dedup(docs).filter("kept").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates the smallest doc_id; texts without words and rows without doc_id all stay."""
     return near_deduplicated(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an overlap with a benchmark text; null and empty texts have none."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, in sequences of 2048 tokens; a null text is the end token alone."""
     return pack(docs)
 
 

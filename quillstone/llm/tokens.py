@@ -6,20 +6,25 @@ import os
 import re
 import string
 from array import array
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Appended to every document.
 END_ID = 1
 #: Pieces that a worker keeps of the last ones seen, and as many of those before.
 CACHE_PIECES = 700_000
+#: Places of pieces that are filled with ids at once.
+PLACES = 1 << 18
 ODD_SPACE = re.compile(r"\s ")
 SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 END = array("I", [END_ID]).tobytes()
-LETTERS = frozenset(string.ascii_letters)
+#: Words that both kinds of vocabulary keep whole before merging; the second begins with the space before the word.
+PLAIN_WORD, SPACED_WORD = re.compile("[a-z]+"), re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+# how byte-level vocabularies write a byte: as its Latin-1 character where that is printable, else by those from 256 on
+_ODD_BYTES = [*range(33), *range(127, 161), 173]
+BYTE_CHARS = {byte: 256 + k for k, byte in enumerate(_ODD_BYTES)}
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,6 +44,7 @@ class Encoder:
 
     def __init__(self, path: str, drops_space: bool):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -47,13 +53,18 @@ class Encoder:
         self.mark = " \0 " if drops_space else "\n"
         found = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.mark_id = found[0] if len(found) == 1 else None
+        self.word = PLAIN_WORD if drops_space else SPACED_WORD
+        if not drops_space and (self.tokenizer.normalizer is not None or not isinstance(self.tokenizer.pre_tokenizer, ByteLevel)):
+            self.word = PLAIN_WORD
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, texts: list[str]) -> pa.ListArray:
+        """The pieces of each text."""
         if self.drops_space:
-            return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").split(" ")
-        if "\0" in text or ODD_SPACE.search(text):
-            return SAFE_CUT.split(text)
-        return text.replace(" ", "\0 ").split("\0")
+            return pc.split_pattern(pc.replace_substring(pc.ascii_lower(pa.array(texts, pa.large_string())), "\n", " "), " ")
+        if any("\0" in t for t in texts):
+            return pa.array([SAFE_CUT.split(t) for t in texts], pa.list_(pa.large_string()))
+        cut = [SAFE_CUT.sub("\0", t) if ODD_SPACE.search(t) else t.replace(" ", "\0 ") for t in texts]
+        return pc.split_pattern(pa.array(cut, pa.large_string()), "\0")
 
     def atoms(self, piece: str) -> list[str]:
         """Parts of a piece that the tokenizers never join: around a lone line feed, and ASCII marks after a letter."""
@@ -69,9 +80,15 @@ class Encoder:
         return out
 
     def encode(self, pieces: list[str]) -> None:
-        """Put the ids of these pieces into the cache."""
+        """Put the ids of these pieces into the cache: plain words by the merges alone, others by the whole tokenizer."""
         known = self.cache
-        alone = []
+        word, merge, alone, rest = self.word.fullmatch, self.tokenizer.model.tokenize, [], []
+        for p in pieces:
+            if word(p):
+                known[p] = array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+            else:
+                rest.append(p)
+        pieces = rest
         if self.mark_id is None:
             alone, pieces = pieces, []
         at = 0
@@ -104,7 +121,7 @@ class Encoder:
         new -= plain
         atoms = self.atoms
         for p in new:
-            if p[-1] in ",." and p[-2:-1] in LETTERS and "\n" not in p:  # the usual case
+            if p[-1] in ",." and p[-2:-1].lower().isalpha() and "\n" not in p:  # the usual case
                 made[p] = parts = p[:-1], p[-1]
             else:
                 parts = atoms(p)
@@ -117,28 +134,40 @@ class Encoder:
         for p, parts in made.items():
             known[p] = b"".join(map(get, parts))
 
+    def joined(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without added tokens: each different piece is looked up once, and its ids go to all its places."""
+        lists = self.pieces(texts)
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts = list(map(self.cache.get, pieces))
+        late = [k for k, found in enumerate(parts) if found is None]
+        self.learn({pieces[k] for k in late})
+        for k in late:
+            parts[k] = self.cache[pieces[k]]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, first = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(size) - size
+        index = coded.indices.to_numpy()
+        length = size[index]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        out = np.empty(ends[-1], np.uint32)
+        for a in range(0, len(index), PLACES):
+            b = min(a + PLACES, len(index))
+            low, high = ends[a], ends[b]
+            out[low:high] = flat[np.repeat(first[index[a:b]] - (ends[a:b] - low), length[a:b]) + np.arange(high - low)]
+        bounds = ends[lists.offsets.to_numpy()].tolist()
+        return [out[a:b].tobytes() + END for a, b in zip(bounds, bounds[1:])]
+
     def batch(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_PIECES:
             self.old, self.cache = self.cache, {"": b""}
-        get = self.cache.get
-        rows, new = [], set()
-        for text in texts:
-            if any(t in text for t in self.special):
-                rows.append(([array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()], [], []))
-                continue
-            split = self.pieces(text)
-            ids = list(map(get, split))
-            late = list(compress(range(len(ids)), map(is_, ids, repeat(None))))
-            pieces = list(map(split.__getitem__, late))
-            new.update(pieces)
-            rows.append((ids, late, pieces))
-        self.learn(new)
-        get = self.cache.__getitem__
-        for ids, late, pieces in rows:
-            for i, found in zip(late, map(get, pieces)):
-                ids[i] = found
-            ids.append(END)
-        return [b"".join(ids) for ids, _, _ in rows]
+        whole = [k for k, t in enumerate(texts) if any(x in t for x in self.special)]
+        odd = [k for k, t in enumerate(texts) if "\0" in t]
+        rest = sorted(set(range(len(texts))).difference(whole, odd))
+        out = {k: array("I", self.tokenizer.encode(texts[k], add_special_tokens=False).ids).tobytes() + END for k in whole}
+        for group in (sorted(set(odd).difference(whole)), rest):
+            if group:
+                out.update(zip(group, self.joined([texts[k] for k in group])))
+        return [out[k] for k in range(len(texts))]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -152,7 +181,7 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     return _encoders[path, drops_space]
 
 
-def encoded(batches, path: str, drops_space: bool, characters: int = 4_000_000):
+def encoded(batches, path: str, drops_space: bool, characters: int = 8_000_000):
     """(doc_id, ids with the end) for Arrow batches of doc_id and text, some characters at a time."""
     enc = encoder(path, drops_space)
     for batch in batches:

@@ -13,7 +13,7 @@ from quillstone.llm.tokens import Encoder, tokenizer_path
 
 VOCABULARIES = [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)]
 ENCODERS = {name: Encoder(tokenizer_path(name), drops) for name, drops in VOCABULARIES}
-PARTS = ["a", "The", "word", " ", "  ", "\n", "\n\n", ",", ".", "'s", "'", "1", "23", "é", "ß", "ΑΣ", "İ", "\t", "\x1c", "\x85", " ", "́", "日本", "🙂", "\0", "<|endoftext|>", "%%%", "!!", "\r\n", "!", "…"]
+PARTS = ["a", "The", "word", " ", "  ", "\n", "\n\n", ",", ".", "'s", "'", "1", "23", "é", "ß", "ΑΣ", "İ", "\t", "\x1c", "\x85", " ", "́", "日本", "🙂", "\0", "<|endoftext|>", "%%%", "!!", "\r\n", "!", "…", "Ñandú", " łódźɏ", "ªº", "naïve."]
 
 
 PLAIN = {name: Tokenizer.from_file(tokenizer_path(name)) for name, _ in VOCABULARIES}

@@ -23,6 +23,21 @@ def name_key(name: Column) -> Column:
     return F.lower(F.regexp_replace(nfkc(name), r"\s+|株式会社|\(株\)|(?i)(co\.,?ltd\.?|inc\.?)$", ""))
 
 
+#: What separates a query's words, and what stands together as one word beside other letters.
+SEPARATORS, LATIN = r"\s\p{Z}、,，・/／", r"0-9A-Za-z._%\-"
+
+
+def query_words(query: Column) -> Column:
+    """The different words of a search, in order: cut at separators, and where Latin letters or digits meet other letters."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(f"[{LATIN}]+|[^{LATIN}{SEPARATORS}]+"), F.lit(0)))
+
+
+def version_key(name: Column, origins: list[str]) -> Column:
+    """The first two parts of a file name from these origins, which its versions share; null for others and shorter names."""
+    parts = F.split(name, "_")
+    return F.when(parts[0].isin(origins) & (F.size(parts) > 2), F.substring_index(name, "_", 2))
+
+
 def tokens(text: Column) -> Column:
     """Runs of letters and digits. No lower-casing and no stop words."""
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))

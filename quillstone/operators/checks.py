@@ -55,3 +55,11 @@ def regrouped(rows: DataFrame, keys: list[str], period: str, member: str) -> Dat
     sets = rows.groupBy(*keys, period).agg(F.array_sort(F.collect_set(member)).alias("now"))
     w = Window.partitionBy(*keys).orderBy(period)
     return sets.withColumn("before", F.lag("now").over(w)).filter("before IS NOT NULL").select(*keys, period, F.array_sort(F.array_except("now", "before")).alias("added"), F.array_sort(F.array_except("before", "now")).alias("removed"))
+
+
+def same_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: how many different ids are in both, in a alone and in b alone, and whether the sets are equal. Null is no id."""
+    sides = a.select(F.col(key).alias("id"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select(F.col(key), F.lit(0), F.lit(1)))
+    ids = sides.filter("id IS NOT NULL").groupBy("id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    n = ids.agg(F.count_if(F.col("a") == F.col("b")).alias("both"), F.count_if(F.col("a") > F.col("b")).alias("only_a"), F.count_if(F.col("a") < F.col("b")).alias("only_b"))
+    return n.withColumn("equal", F.expr("only_a + only_b = 0"))

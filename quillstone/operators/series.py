@@ -163,9 +163,43 @@ def faceted(catalog: DataFrame, tags: list[str] | None = None, **facets: str | l
     return out
 
 
-def volatile(dispersion: DataFrame, parents: DataFrame, least: float = 0.15, ratio: float = 2) -> DataFrame:
-    """series_id, dispersion, parent's dispersion, volatile: much, and much more than its aggregate."""
+#: A dispersion from here on that is so many times its aggregate's is volatile; fewer members make a small cell.
+VOLATILE, TIMES, SMALL = 0.15, 2.0, 100
+
+
+def volatile(dispersion: DataFrame, parents: DataFrame, least: float = VOLATILE, ratio: float = TIMES) -> DataFrame:
+    """series_id, dispersion, parent's dispersion, volatile: much, and much more than its aggregate (to two decimals)."""
     p = dispersion.select(F.col("series_id").alias("parent"), F.col("dispersion").alias("parent_dispersion"))
     both = dispersion.join(parents, "series_id").join(p, "parent")
-    flag = (F.col("dispersion") >= least) & (F.col("dispersion") >= ratio * F.col("parent_dispersion"))
-    return both.select("series_id", "parent", "dispersion", "parent_dispersion", flag.alias("volatile"))
+    times = F.round(F.col("dispersion") / F.nullif("parent_dispersion", F.lit(0.0)), 2)
+    return both.select("series_id", "parent", "dispersion", "parent_dispersion", F.coalesce((F.col("dispersion") >= least) & (times >= ratio), F.lit(False)).alias("volatile"))
+
+
+def cell_flags(flags: DataFrame, population: DataFrame, fewer: float = SMALL) -> DataFrame:
+    """series_id and flags (volatile, small_cell, comma-joined) of the series that have one.
+
+    flags is volatile()'s result; population has series_id, at and value: a series' newest value counts its members.
+    Series in one of the two alone are judged by what there is.
+    """
+    newest = population.filter("value IS NOT NULL").groupBy("series_id").agg(F.max_by("value", "at").alias("members"))
+    both = flags.select("series_id", "volatile").join(newest, "series_id", "full")
+    marks = F.concat_ws(",", F.when(F.col("volatile"), "volatile"), F.when(F.col("members") < fewer, "small_cell"))
+    return both.select("series_id", marks.alias("flags")).filter("flags <> ''")
+
+
+def id_parts(ids: DataFrame, catalog: DataFrame) -> DataFrame:
+    """series_id, org, dataset, measure, dims, freq: ids taken apart by the shapes that registered series have.
+
+    catalog has series_id, org, dataset, measure, dims and freq. An id begins with org and dataset, then comes a measure,
+    which may hold dots, then the dims, then what follows them in a registered id of that measure. The longest measure
+    that fits wins, and then the longest ending; an id that fits none has nulls.
+    """
+    dot, empty = F.lit("."), F.lit("")
+    tail = F.expr("substr(series_id, length(concat_ws('.', org, dataset, measure, dims)) + 1)")
+    shapes = catalog.select(F.concat_ws(".", "org", "dataset").alias("start"), "org", "dataset", "measure", tail.alias("ending"), "freq").distinct()
+    asked = ids.select("series_id").distinct().withColumns({"start": F.substring_index("series_id", ".", 2), "rest": F.expr("substr(series_id, length(substring_index(series_id, '.', 2)) + 2)")})
+    fits = F.startswith("rest", F.concat("measure", dot)) & F.endswith("rest", "ending") & (F.length("rest") >= F.length("measure") + F.length("ending"))
+    dims = F.expr("substr(rest, length(measure) + 2, length(rest) - length(measure) - 1 - length(ending))")
+    found = asked.join(small(shapes), "start").filter(fits).withColumn("dims", F.coalesce(dims, empty))
+    best = found.groupBy("series_id").agg(F.max_by(F.struct("org", "dataset", "measure", "dims", "freq"), F.struct(F.length("measure"), F.length("ending"))).alias("best"))
+    return asked.select("series_id").join(best, "series_id", "left").select("series_id", "best.*")

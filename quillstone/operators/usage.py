@@ -97,3 +97,12 @@ def sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     fresh = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp")) > gap_seconds * 1_000_000, F.lit(True))
     return events.withColumn("f", fresh.cast("int")).withColumn("session", F.sum("f").over(w)).groupBy("user_id", "session").agg(F.min("ts").alias("begin_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n"))
+
+
+#: Fixed value: days that a usage log is kept.
+RETENTION_DAYS = 30
+
+
+def retained(log: DataFrame, at: str, now, days: int = RETENTION_DAYS) -> DataFrame:
+    """The rows of the last days up to now, a timestamp; rows without a time stay, as their age is unknown."""
+    return log.filter(F.col(at).isNull() | (F.col(at) >= F.lit(now) - F.make_dt_interval(days=F.lit(days))))

@@ -67,7 +67,7 @@ def series_facets(spark, sf):
 
 @query(f"""WITH {SERIES}, d AS (SELECT series_id, seg, ln(value) - ln(lag(value) OVER (PARTITION BY series_id ORDER BY year, sub)) AS d FROM sv WHERE freq = 'q' AND value > 0), g AS (SELECT series_id, seg, list_sort(list(d)) AS ds FROM d WHERE d IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 8),
     m AS (SELECT *, ds[len(ds) // 2 + 1] AS m FROM g), x AS (SELECT series_id, seg, round(1.4826 * list_sort([abs(x - m) FOR x IN ds])[len(ds) // 2 + 1], 4) AS dispersion FROM m)
-    SELECT c.series_id, p.series_id AS parent, c.dispersion, p.dispersion AS parent_dispersion, c.dispersion >= 0.15 AND c.dispersion >= 2 * p.dispersion AS volatile FROM x c JOIN x p ON p.series_id = replace(c.series_id, '.' || c.seg || '-', '.all-') WHERE c.seg <> 'all'""")
+    SELECT c.series_id, p.series_id AS parent, c.dispersion, p.dispersion AS parent_dispersion, coalesce(c.dispersion >= 0.15 AND round(c.dispersion / nullif(p.dispersion, 0), 2) >= 2, false) AS volatile FROM x c JOIN x p ON p.series_id = replace(c.series_id, '.' || c.seg || '-', '.all-') WHERE c.seg <> 'all'""")
 def dispersion_flags(spark, sf):
     v = series_values(spark, sf).filter("freq = 'q'")
     parent = F.replace("series_id", F.concat(F.lit("."), "seg", F.lit("-")), F.lit(".all-"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import periods, text
-from quillstone.operators import checks, curation, retrieval, screen, series, trend
+from quillstone.operators import checks, curation, retrieval, screen, series, trend, usage
 from quillstone.operators.expr import ExpressionError, Vocabulary, parse, terms
 from quillstone.sources import formats, sinks
 from quillstone.streaming import usage as stream
@@ -148,3 +148,32 @@ def test_upserts(spark):
     new = spark.createDataFrame([("a", "y", "2"), ("b", "y", "2"), ("c", "y", "2")], "k string, t string, v string")
     assert {tuple(r) for r in curation.upsert_sticky(old, new, "k", ["t"]).collect()} == {("a", "x", "2"), ("b", "y", "2"), ("c", "y", "2")}
     assert curation.not_yet_by_prefix(spark.createDataFrame([("b",), ("x",)], "k string"), spark.createDataFrame([("b_1",)], "k string"), "k").collect() == [("x",)]
+
+
+def test_cell_flags_without_aggregate_or_members(spark):
+    d = spark.createDataFrame([("a", 0.4), ("b", 0.3), ("c", 0.1), ("p", 0.2), ("z", 0.0)], "series_id string, dispersion double")
+    parents = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "z")], "series_id string, parent string")
+    flags = series.volatile(d, parents)
+    assert {r.series_id: r.volatile for r in flags.collect()} == {"a": True, "b": False, "c": False}
+    members = spark.createDataFrame([("a", 1, 500.0), ("a", 2, 99.0), ("b", 1, 5.0), ("b", 2, 100.0), ("x", 1, 3.0), ("x", 2, None)], "series_id string, at int, value double")
+    assert {tuple(r) for r in series.cell_flags(flags, members).collect()} == {("a", "volatile,small_cell"), ("x", "small_cell")}
+
+
+def test_id_parts_takes_the_longest_measure_and_ending(spark):
+    c = spark.createDataFrame([("o.d.m.x.a", "o", "d", "m", "x", "a"), ("o.d.m.n.x.a", "o", "d", "m.n", "x", "a"), ("o.d.m.x.a.r", "o", "d", "m", "x", "a"), ("o.d.k.a", "o", "d", "k", None, "a")], "series_id string, org string, dataset string, measure string, dims string, freq string")
+    ids = spark.createDataFrame([("o.d.m.n.y.a",), ("o.d.m.y.a.r",), ("o.d.k.a",), ("o.e.m.x.a",), ("o.d.m.y.q",), ("",), ("o",)], "series_id string")
+    got = {r.series_id: tuple(r)[1:] for r in series.id_parts(ids, c).collect()}
+    assert got["o.d.m.n.y.a"] == ("o", "d", "m.n", "y", "a") and got["o.d.m.y.a.r"] == ("o", "d", "m", "y", "a") and got["o.d.k.a"] == ("o", "d", "k", "", "a")
+    assert all(got[x] == (None,) * 5 for x in ("o.e.m.x.a", "o.d.m.y.q", "", "o"))
+
+
+def test_id_sets_retention_and_versions(spark):
+    from datetime import datetime
+
+    a, b = (spark.createDataFrame([(x,) for x in xs], "k int") for xs in ([1, 1, 2, None], [2, 3, 3]))
+    assert tuple(checks.same_ids(a, b, "k").first()) == (1, 1, 1, False)
+    assert tuple(checks.same_ids(a.limit(0), b.limit(0), "k").first()) == (0, 0, 0, True)
+    log = spark.createDataFrame([(1, datetime(2024, 1, 1)), (2, datetime(2024, 1, 2)), (3, None)], "n int, ts timestamp")
+    assert sorted(r.n for r in usage.retained(log, "ts", datetime(2024, 2, 1)).collect()) == [2, 3]
+    names = spark.createDataFrame([("gov_a_1.pdf",), ("gov_a",), ("org_a_1",), (None,)], "n string")
+    assert [r.v for r in names.select(text.version_key(F.col("n"), ["gov"]).alias("v")).collect()] == ["gov_a", None, None, None]

@@ -254,11 +254,8 @@ def manifest(docs: DataFrame, columns: list[str], tree: str = "source", order: s
     tops = numbered(roots.select(F.lit("").alias("tree"), F.col("tree").alias("part"), "digest", F.col("round").alias("at")), "tree", ["part"], "tops")
     upper, whole = climbed(tops, "root")
     found = whole.select("digest", "round").first()
-    if found is None:
-        root, height = None, 1
-    else:
-        root, height = found
-    end = spark.createDataFrame([("", root, [], height)], f"tree string, subroot string, path {PATH}, round int")
+    root = found and found.digest
+    end = spark.createDataFrame([("", root, [], found.round)] if found else [], f"tree string, subroot string, path {PATH}, round int")
     named = tops.select("tree", "pos", "digest", "n", F.lit(None).cast("long").alias("id"), F.array("part", F.col("at").cast("string")).alias("carried"))
     parts = stored(paths(named, upper, end, "root"), "parts")
     due = parts.select(F.col("carried")[0].alias("tree"), F.col("digest").alias("subroot"), "path", F.col("carried")[1].cast("int").alias("round"))

@@ -17,6 +17,7 @@ from .merkle import FAN_OUT, folded, leaf_of, manifest, proof_digest
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality
+from .suffix_dedup import without_repeats
 from .token_output import token_files
 
 
@@ -80,10 +81,16 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.until - s.since)
+    return rows.select("doc_id", (F.octet_length("kept") + removed).alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_decontamination, op3_quality, op4_license_scan, op5_packing,
     op6_language_id, op7_language_model, op8_line_dedup, op9_exact_dedup, op10_token_output,
-    op11_merkle_manifest, op12_fill_in_middle,
+    op11_merkle_manifest, op12_fill_in_middle, op13_suffix_dedup,
 )}
 
 NORMALISED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -127,7 +134,17 @@ _FIM = """WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(
     p AS (SELECT *, CASE WHEN a = 0 THEN '' ELSE array_to_string(us[1:a], '') END AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:], '') AS suf FROM c)
     SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
         sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+_REPEATS = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    w AS (SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS h FROM d, LATERAL (SELECT unnest(range(n - 199)) AS i)),
+    k AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS last FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+    g AS (SELECT r, i, sum(CASE WHEN i <= last + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS span FROM k),
+    s AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, span),
+    p AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM s),
+    j AS (SELECT d.r, any_value(doc_id) AS doc_id, any_value(x) AS x, any_value(n) AS n, max(b) AS stop, sum(b - a) AS gone, count(b) AS spans,
+            string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head FROM d LEFT JOIN p ON d.r = p.r GROUP BY d.r)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, spans AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(stop, 0) + 1))) AS kept_sha256 FROM j"""
 ORACLE_SQL = {
+    "op13_suffix_dedup": _REPEATS,
     "op11_merkle_manifest": _merkle_sql(),
     "op12_fill_in_middle": _FIM,
     "op9_exact_dedup": f"""

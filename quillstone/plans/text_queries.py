@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
-from quillstone.operators import checks, curation
+from quillstone.operators import checks, chunking, curation
 from quillstone.operators import retrieval as rt
 from quillstone.plans.adapters import CHUNKS, chunks, table
 from quillstone.plans.catalog import query
@@ -292,3 +292,31 @@ def strategy_classifier(spark, sf):
 @query("SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS head FROM documents")
 def text_preview(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.shortened(F.col("text"), 80).alias("head"))
+
+
+#: Characters of a semantic chunk, at most.
+CHUNK = 1500
+
+
+@query(
+    f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM embeddings),
+    l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?。！？])', '\\1' || chr(10), 'g'), chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS ss FROM documents),
+    s AS (SELECT doc_id, unnest(range(len(ss))) AS i, unnest(ss) AS t FROM l),
+    v AS (SELECT s.*, CAST(embedding AS DOUBLE[]) AS vec FROM s, n JOIN embeddings ON vec_id = (doc_id * 7 + i) % n.n),
+    d AS (SELECT doc_id, i, t, round(1 - list_sum(list_transform(range(1, len(vec) + 1), lambda k: vec[k] * after[k])) / (sqrt(list_sum([x * x FOR x IN vec])) * sqrt(list_sum([x * x FOR x IN after]))), 9) AS distance
+        FROM (SELECT *, lead(vec) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM v)),
+    q AS (SELECT *, quantile_cont(distance, 0.95) OVER (PARTITION BY doc_id) AS most FROM d),
+    c AS (SELECT *, CAST(coalesce(sum(CASE WHEN distance > most + 1e-12 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chunk FROM q),
+    p AS (SELECT doc_id, chunk, i, row_number() OVER (PARTITION BY doc_id, chunk ORDER BY i, k) AS r, length(substr(t, CAST(k * {CHUNK} + 1 AS BIGINT), {CHUNK})) AS size FROM (SELECT *, unnest(range(CAST(ceil(length(t) / {CHUNK}) AS BIGINT))) AS k FROM c)),
+    f AS (SELECT doc_id, chunk, r, 0 AS part, size FROM p WHERE r = 1
+        UNION ALL SELECT p.doc_id, p.chunk, p.r, CASE WHEN f.size + p.size + 1 <= {CHUNK} THEN f.part ELSE f.part + 1 END, CASE WHEN f.size + p.size + 1 <= {CHUNK} THEN f.size + p.size + 1 ELSE p.size END FROM f JOIN p ON p.doc_id = f.doc_id AND p.chunk = f.chunk AND p.r = f.r + 1),
+    e AS (SELECT doc_id, chunk, min(i) AS first, max(i) AS last FROM c GROUP BY 1, 2)
+    SELECT f.doc_id, f.chunk, f.part, CAST(max(f.size) AS INTEGER) AS n_chars, CAST(any_value(e.first) AS INTEGER) AS first, CAST(any_value(e.last) AS INTEGER) AS last FROM f JOIN e ON e.doc_id = f.doc_id AND e.chunk = f.chunk GROUP BY 1, 2, 3"""
+)
+def semantic_chunks(spark, sf):
+    """Whole documents; each sentence has a vector of the embeddings by its document and place."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = vectors.count()
+    each = table(spark, sf, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"), ".!?。！？")).alias("i", "text"))
+    each = each.join(vectors, (F.col("doc_id") * 7 + F.col("i")) % n == F.col("vec_id")).select("doc_id", "i", "text", "embedding")
+    return chunking.semantic_chunks(each, "doc_id", "i", "text", "embedding", CHUNK).select("doc_id", "chunk", "part", F.length("text").alias("n_chars"), "first", "last")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.operators import transcripts as tr
+from quillstone.operators.chunking import heading
 from quillstone.plans.adapters import table
 from quillstone.plans.catalog import query
 
@@ -77,6 +78,14 @@ def speaker_roles(spark, sf):
     return counts.select("speaker", role.alias("role"), tr.licence_of(role).alias("licence"), "n")
 
 
+@query(_UNITS + "SELECT conv_id, unit, '規制会議 第' || conv_id || '回（' || CASE WHEN conv_id % 2 = 0 THEN '2024-05-' || lpad(CAST(turn + 1 AS VARCHAR), 2, '0') ELSE '日付なし' END || '）' || CASE WHEN mode = 'narration' THEN '資料1 概要 p' || turn ELSE '議事録' END || '・' || coalesce(speaker, '不明') || '：' AS heading FROM n")
+def unit_headings(spark, sf):
+    day = F.concat(F.lit("2024-05-"), F.lpad((F.col("start_page") + 1).cast("string"), 2, "0"))
+    kind = F.when(F.col("mode") == "narration", "page").otherwise("utterance")
+    line = heading(kind, F.lit("規制会議"), F.col("conv_id"), F.when(F.col("conv_id") % 2 == 0, day), F.lit("議事録"), F.col("speaker"), F.lit("資料1"), F.lit("（案）概要"), F.col("start_page"))
+    return units(spark, sf).select("conv_id", "unit", line.alias("heading"))
+
+
 @query("SELECT CASE WHEN length(regexp_replace(regexp_replace(text, '(?m)^\\s*[-‐－]?\\s*[0-9０-９]{1,4}\\s*[-‐－]?\\s*$', '', 'g'), '\\s', '', 'g')) < 100 THEN 'sparse' ELSE 'full' END AS quality, count(*) AS n FROM documents GROUP BY 1")
 def page_quality(spark, sf):
     return table(spark, sf, "documents").groupBy(tr.page_quality(F.col("text")).alias("quality")).agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from quillstone.functions.text import client_label
 from quillstone.operators import usage
 from quillstone.plans.adapters import table
 from quillstone.plans.catalog import query
+from quillstone.streaming import state
 from quillstone.streaming.usage import event_stream, weekly_stream
 
 KINDS = ["click", "view", "purchase", "signup", "error"]
@@ -91,3 +92,56 @@ def streaming_weekly(spark, sf):
     run = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(F.date_format("week_start", "yyyy-MM-dd").alias("week"), "calls")
+
+
+#: A day's window of two calls; calls that ended in an error were turned away as busy.
+_DECIDED = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type = 'error' AS busy, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    w AS (SELECT user_id, event_id, rn, t, -1e18::BIGINT AS older, CASE WHEN busy THEN -1e18::BIGINT ELSE t END AS newer, CASE WHEN busy THEN 'forgotten' ELSE 'admitted' END AS outcome, NULL::BIGINT AS wait FROM e WHERE rn = 1
+        UNION ALL SELECT e.user_id, e.event_id, e.rn, e.t, CASE WHEN older > e.t - 86400000000 OR busy THEN older ELSE newer END, CASE WHEN older > e.t - 86400000000 OR busy THEN newer ELSE e.t END,
+            CASE WHEN older > e.t - 86400000000 THEN 'refused' WHEN busy THEN 'forgotten' ELSE 'admitted' END, CASE WHEN older > e.t - 86400000000 THEN older + 86400000000 - e.t END
+        FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
+    SELECT event_id, user_id, outcome, CAST(greatest(1, ceil(wait / 60000000.0)) AS INTEGER) * CASE WHEN outcome = 'refused' THEN 1 END AS minutes FROM w"""
+
+
+def _calls_of(events):
+    return events.withColumn("busy", F.col("event_type") == "error")
+
+
+@query(_DECIDED)
+def calls_decided(spark, sf):
+    return state.admitted(_calls_of(table(spark, sf, "events")), 86400, 2).select("event_id", "user_id", "outcome", "minutes")
+
+
+@query(_DECIDED)
+def calls_decided_stream(spark, sf):
+    """The same decisions by a stateful stream."""
+    events = event_stream(spark, f"{sf}/events.parq*", table(spark, sf, "events").schema)
+    return state.finished(state.admitted_stream(_calls_of(events), 86400, 2), "calls").select("event_id", "user_id", "outcome", "minutes")
+
+
+_PROBES = """WITH RECURSIVE p AS (SELECT user_id::VARCHAR AS key, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_type = 'purchase' THEN 'ingest' ELSE 'probe' END AS kind, CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'b' END AS signal FROM events),
+    d AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY day, kind = 'ingest', signal NULLS FIRST) AS rn FROM p),
+    w AS (SELECT key, rn, day, kind, NULL::BOOLEAN AS changed, CASE WHEN kind = 'probe' THEN signal END AS signal, NULL::VARCHAR AS since, CASE WHEN kind = 'ingest' THEN day END AS ingested FROM d WHERE rn = 1
+        UNION ALL SELECT key, rn, day, kind, changed, signal, CASE WHEN since IS NOT NULL AND ingested >= since THEN NULL ELSE since END, ingested
+        FROM (SELECT d.key, d.rn, d.day, d.kind, CASE WHEN d.kind = 'probe' AND d.signal IS NOT NULL AND w.signal IS NOT NULL THEN d.signal <> w.signal END AS changed, CASE WHEN d.kind = 'probe' THEN coalesce(d.signal, w.signal) ELSE w.signal END AS signal,
+                CASE WHEN d.kind = 'probe' AND d.signal IS NOT NULL AND w.signal IS NOT NULL AND d.signal <> w.signal THEN coalesce(w.since, d.day) ELSE w.since END AS since, CASE WHEN d.kind = 'ingest' THEN greatest(coalesce(w.ingested, d.day), d.day) ELSE w.ingested END AS ingested
+            FROM w JOIN d ON d.key = w.key AND d.rn = w.rn + 1))
+    SELECT key, day, changed, since, count(*) AS n FROM w WHERE kind = 'probe' GROUP BY ALL"""
+
+
+def _probes_of(events):
+    """Each user as a source: clicks and views are two signals, purchases are ingests, other events are failed probes."""
+    kind = F.col("event_type")
+    return events.select(F.col("user_id").cast("string").alias("key"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.when(kind == "purchase", "ingest").otherwise("probe").alias("kind"), F.when(kind == "click", "a").when(kind == "view", "b").alias("signal"))
+
+
+@query(_PROBES)
+def sources_pending(spark, sf):
+    return state.pending(_probes_of(table(spark, sf, "events"))).groupBy("key", "day", "changed", "since").agg(F.count("*").alias("n"))
+
+
+@query(_PROBES)
+def sources_pending_stream(spark, sf):
+    """The same changes by a stateful stream."""
+    events = event_stream(spark, f"{sf}/events.parq*", table(spark, sf, "events").schema)
+    return state.finished(state.pending_stream(_probes_of(events)), "pending").groupBy("key", "day", "changed", "since").agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,18 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def by_position(docs: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What run makes of docs, with the columns of docs and nothing else.
+
+    run sees doc_id and text, however their names are spelt, and the other columns under names of their own: so no name
+    of docs, with dots, in other case or equal to one that run makes, is lost or mistaken.
+    """
+    plain = [f"column {i}" for i in range(len(docs.columns))]
+    for name in ("doc_id", "text"):
+        plain[[c.lower() for c in docs.columns].index(name)] = name
+    return run(docs.toDF(*plain)).select(*(F.col(f"`{c}`") for c in plain)).toDF(*docs.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where all is one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import by_position, stored
 from .tokens import record_batches
 from .words import Hashes, alnum_words, mixed, odd_numbers
 
@@ -155,7 +155,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_W
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
-    """The rows of docs, with all their columns, that overlap with no benchmark text; null texts and ids are no overlap."""
+    """The rows of docs, with all their columns (of any names), that overlap with no benchmark text; null texts and ids are no overlap."""
+    return by_position(docs, lambda rows: _clean(rows, benchmark, index_words))
+
+
+def _clean(docs: DataFrame, benchmark: DataFrame, index_words: int) -> DataFrame:
     place = docs.columns.index("text")
 
     def step(left: DataFrame, shared) -> DataFrame:

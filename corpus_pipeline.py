@@ -1,10 +1,14 @@
-"""The corpus pipeline: low quality, exact and near copies and benchmark leaks go; what is left is packed."""
+"""The corpus pipeline: low quality, exact and near copies and benchmark leaks go; what is left is packed.
+
+Every stage but the last returns the columns of its documents, whatever their names: columns that an operator makes
+never take the place of theirs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm.common import new_path, table
+from quillstone.llm.common import by_position, new_path, table
 from quillstone.llm.decontamination import decontaminated
 from quillstone.llm.exact_dedup import exact_dedup
 from quillstone.llm.near_dedup import near_deduplicated
@@ -18,17 +22,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts are judged alike, by what the model makes of an empty text; ids don't matter.
     """
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return scored(docs, model).filter("predicted = 1").select(*docs.columns)
+    return by_position(docs, lambda rows: scored(rows, model).filter("predicted = 1"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each text, A-Z lower-cased: the one with the largest doc_id; null counts as empty."""
-    return exact_dedup(docs).filter("kept").select(*docs.columns)
+    return by_position(docs, lambda rows: exact_dedup(rows).filter("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates the smallest doc_id; texts without words and rows without doc_id all stay."""
-    return near_deduplicated(docs)
+    return by_position(docs, near_deduplicated)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

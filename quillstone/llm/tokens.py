@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 #: Appended to every document.
 END_ID = 1
 #: Pieces that a worker keeps of the last ones seen, and as many of those before.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 300_000
 #: Places of pieces that are filled with ids at once.
 PLACES = 1 << 18
 ODD_SPACE = re.compile(r"\s ")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 ANCHORS = T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("label", T.StringType())]))
 CELLS = T.ArrayType(T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("table", "row", "col")), T.StructField("text", T.StringType())]))
+#: Elements whose text is no part of an article.
 SKIPPED = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript"}
 VOID = {"meta", "link", "br", "img", "input", "hr", "source", "col", "wbr", "area", "base", "embed", "track"}
 
@@ -81,7 +83,7 @@ class _Tables(HTMLParser):
         elif self.depth == 1 and tag == "tr":
             self.tables[-1].append([])
         elif self.depth == 1 and tag in ("td", "th") and self.tables[-1]:
-            self.cell = {"text": "", "rows": int(a.get("rowspan") or 1), "cols": int(a.get("colspan") or 1)}
+            self.cell = {"text": "", "rows": span(a.get("rowspan"), 65534), "cols": span(a.get("colspan"), 1000)}
             self.tables[-1][-1].append(self.cell)
 
     def handle_data(self, data):
@@ -95,8 +97,14 @@ class _Tables(HTMLParser):
             self.cell = None
 
 
+def span(value: str | None, most: int) -> int:
+    """A span as browsers read it: the digits that the attribute begins with, from 1 to most; 1 for anything else."""
+    digits = re.match(r"\s*\+?(\d+)", value or "")
+    return min(max(int(digits[1][:9]), 1), most) if digits else 1
+
+
 def table_cells(html: str | None) -> list[dict]:
-    """table, row, col, text of every place of the tables' grids, with merged cells repeated."""
+    """table, row, col, text of every place of the tables' grids, with merged cells repeated; no cell reaches below its table."""
     p = _Tables()
     p.feed(html or "")
     out = []
@@ -107,7 +115,7 @@ def table_cells(html: str | None) -> list[dict]:
             for cell in cells:
                 while (r, c) in grid:
                     c += 1
-                for i in range(cell["rows"]):
+                for i in range(min(cell["rows"], len(rows) - r)):
                     for j in range(cell["cols"]):
                         grid[r + i, c + j] = cell["text"]
         out += [{"table": t, "row": r, "col": c, "text": x} for (r, c), x in sorted(grid.items())]

@@ -177,3 +177,13 @@ def test_id_sets_retention_and_versions(spark):
     assert sorted(r.n for r in usage.retained(log, "ts", datetime(2024, 2, 1)).collect()) == [2, 3]
     names = spark.createDataFrame([("gov_a_1.pdf",), ("gov_a",), ("org_a_1",), (None,)], "n string")
     assert [r.v for r in names.select(text.version_key(F.col("n"), ["gov"]).alias("v")).collect()] == ["gov_a", None, None, None]
+
+
+@pytest.mark.parametrize("value,want", [(None, 1), ("", 1), ("2", 2), ("2%", 2), (" 3", 3), ("+4", 4), ("0", 1), ("-1", 1), ("x", 1), ("99999999999", 1000)])
+def test_spans_are_read_as_browsers_do(value, want):
+    assert formats.span(value, 1000) == want
+
+
+def test_no_cell_reaches_below_its_table():
+    cells = formats.table_cells("<table><tr><td rowspan='70000'>a</td><td colspan='2%'>b</td></tr><tr><td>c</td></tr></table>")
+    assert [(x["row"], x["col"], x["text"]) for x in cells] == [(0, 0, "a"), (0, 1, "b"), (0, 2, "b"), (1, 0, "a"), (1, 1, "c")]

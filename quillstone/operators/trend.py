@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Aggregates that need two years at least.
@@ -15,20 +15,20 @@ def yearly(rows: DataFrame) -> DataFrame:
     return rows.withColumn("regular", (F.col("period") - F.lag("period").over(w) == 1) | F.lag("period").over(w).isNull())
 
 
-def aggregated(rows: DataFrame, least: float | None = None, most: float | None = None) -> DataFrame:
-    """All aggregates of company, period, value in one shuffle, with the reasons of those that have none.
+def aggregated(rows: DataFrame, least: float | Column | None = None, most: float | Column | None = None, keys: tuple[str, ...] = ("company",)) -> DataFrame:
+    """All aggregates of the keys, period, value in one shuffle, with the reasons of those that have none.
 
     The streaks count strict steps back from the newest year. Reasons come in order: irregular_period,
     insufficient_history, nonpositive_start, negative_end.
     """
-    w = Window.partitionBy("company").orderBy("period")
+    w = Window.partitionBy(*keys).orderBy("period")
     step = rows.withColumns({"before": F.lag("value").over(w), "year_before": F.lag("period").over(w)})
     up, down = F.coalesce(F.col("value") > F.col("before"), F.lit(False)), F.coalesce(F.col("value") < F.col("before"), F.lit(False))
     step = step.withColumns({"not_up": F.when(~up, F.col("period")), "not_down": F.when(~down, F.col("period")), "gap": F.col("period") - F.col("year_before") != 1})
     inside = F.lit(True)
     inside = inside & (F.col("value") >= least) if least is not None else inside
     inside = inside & (F.col("value") <= most) if most is not None else inside
-    total = step.groupBy("company").agg(
+    total = step.groupBy(*keys).agg(
         F.count("*").alias("years"), F.min_by("value", "period").alias("first"), F.max_by("value", "period").alias("last"), F.min("period").alias("from_period"), F.max("period").alias("to_period"),
         F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_if(inside).alias("years_meeting"), F.coalesce(F.bool_or("gap"), F.lit(False)).alias("gaps"),
         F.max("not_up").alias("last_not_up"), F.max("not_down").alias("last_not_down"),

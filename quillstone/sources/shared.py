@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -17,3 +17,10 @@ def shared_path(spark: SparkSession, tag: str) -> str:
         root = f"file://{tempfile.mkdtemp(prefix='quillstone-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quillstone/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, tag: str) -> DataFrame:
+    """rows, written as Parquet in the shared folder and read again: what several branches read is made once, and outlives lost executors."""
+    path = shared_path(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)

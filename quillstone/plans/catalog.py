@@ -20,5 +20,5 @@ def query(sql: str | None = None):
     return put
 
 
-for _part in ("company_queries", "segment_queries", "region_queries", "layout_queries", "trend_queries", "series_queries", "panel_queries", "annotation_queries", "find_queries", "quality_queries", "text_queries", "quote_queries", "transcript_queries", "usage_queries"):
+for _part in ("company_queries", "segment_queries", "region_queries", "layout_queries", "trend_queries", "series_queries", "panel_queries", "annotation_queries", "find_queries", "quality_queries", "guarded_queries", "text_queries", "quote_queries", "transcript_queries", "usage_queries"):
     import_module(f"quillstone.plans.{_part}")

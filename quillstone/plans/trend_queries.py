@@ -68,9 +68,10 @@ def trend_screen_excluded(spark, sf):
     return ts.excluded(_screened(spark, sf)[2], CONDITIONS)
 
 
+# the mean is rounded in whole numbers: half up, as in Spark
 @query(f"""{JUDGED}, c AS (SELECT s.company, s.stop FROM s JOIN j ON j.company = s.company AND j.i = s.stop AND reason = 'share_count_changed'), n AS (SELECT company, period, arg_max(quantity, doc * 2 + CASE WHEN basis = 'consolidated' THEN 0 ELSE 1 END) AS q FROM f GROUP BY 1, 2),
-    r AS (SELECT * FROM (SELECT g.company, g.period, CAST(revenue AS DOUBLE) AS v, us, row_number() OVER (PARTITION BY g.company, g.period ORDER BY NOT us DESC, doc DESC) AS rn FROM g JOIN c ON c.company = g.company WHERE period BETWEEN oldest AND newest) WHERE rn = 1)
-    SELECT company, CAST(stop AS INTEGER) AS stop, round(v, 3) AS value, NULL AS why, CAST(a.q AS DOUBLE) AS from_issued, CAST(b.q AS DOUBLE) AS to_issued FROM (SELECT c.company, c.stop, avg(v) AS v, min(r.period) AS lo, max(r.period) AS hi FROM c JOIN r ON r.company = c.company GROUP BY 1, 2) t
+    r AS (SELECT * FROM (SELECT g.company, g.period, revenue AS v, us, row_number() OVER (PARTITION BY g.company, g.period ORDER BY NOT us DESC, doc DESC) AS rn FROM g JOIN c ON c.company = g.company WHERE period BETWEEN oldest AND newest) WHERE rn = 1)
+    SELECT company, CAST(stop AS INTEGER) AS stop, CAST((s + 5 * n) // (10 * n) AS DOUBLE) / 1000 AS value, NULL AS why, CAST(a.q AS DOUBLE) AS from_issued, CAST(b.q AS DOUBLE) AS to_issued FROM (SELECT c.company, c.stop, CAST(round(CAST(sum(v) AS DOUBLE) * 10000) AS HUGEINT) AS s, count(*) AS n, min(r.period) AS lo, max(r.period) AS hi FROM c JOIN r ON r.company = c.company GROUP BY 1, 2) t
     LEFT JOIN n a USING (company) LEFT JOIN n b USING (company) WHERE a.period = lo AND b.period = hi""")
 def trend_screen_comparable(spark, sf):
     f, frames, rows = _screened(spark, sf)

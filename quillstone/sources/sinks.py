@@ -15,10 +15,15 @@ def swap_version(rows: DataFrame, root: str, version: str) -> str:
     """Write a version beside the others and point `current` at it, last: readers see a whole version at any time."""
     path = f"{root}/versions/{version}"
     rows.write.mode("errorifexists").parquet(path)
-    rows.sparkSession.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    point_at(rows.sparkSession, root, path)
     return path
 
 
+def point_at(spark: SparkSession, root: str, path: str) -> None:
+    """From now on readers of root see the version at this path."""
+    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(spark.read.json(f"{root}/current").first()["path"])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import layouts as lo
 from quillstone.plans.adapters import table
 from quillstone.plans.catalog import query
+from quillstone.sources.shared import stored
 
 SECTIONS = (("貸借対照表", "BS"), ("行政コスト計算書", "PL"), ("資金収支計算書", "CF"))
 STATES, QUARTERS, BANDS = ("F", "O", "P"), ("Q1", "Q2", "Q3", "Q4"), ("B0", "B1", "B2", "B3", "B4")
@@ -56,7 +57,7 @@ def statement_sheets(spark, sf):
             fixed += [(at + 1, 7 + c, F.when(name.endswith("7") & (c == 3), "別").otherwise(text) if i == 1 else text)]
     fixed += [(row, 2, "その他") for row in (end - 5, end - 4)] + [(end - 5, 7, "5"), (end, 1, lo.END), (end + 1, 2, "一人当たり"), (end + 1, 7, "9")]
     fixed += [(LAYOUT.group_row, 7 + 5 * i, r) for i, r in enumerate(QUARTERS)]
-    return leaves.unionByName(years).unionByName(totals).unionByName(_cells(sheets, name, *fixed))
+    return stored(leaves.unionByName(years).unionByName(totals).unionByName(_cells(sheets, name, *fixed)), "cells")
 
 
 _IDX = lambda values, c: f"(list_position([{', '.join(repr(v) for v in values)}], {c}) - 1)"
@@ -119,7 +120,7 @@ def era_heads(spark, sf):
     cells = _cells(y, F.col("sheet"), (3, col, F.concat(F.when(F.col("opens"), F.col("era")).otherwise(""), "number")), (5, col, F.col("n")), (7, col, "-1"), (9, col, F.format_number("price", 2)))
     fixed = _cells(y.select("sheet").distinct(), F.col("sheet"), (3, 1, "事項"), (3, 40, "9（決算見込額）"), (5, 40, "77"), (5, 2, "歳 入"), (7, 3, "計"), (9, 3, "計"))
     asked = y.select("sheet", F.explode(F.array(*(F.struct(F.lit(a).alias("label"), F.lit(b).alias("occurrence")) for a, b in (("歳入", 0), ("計", 2), ("計", 0), ("歳出", 0))))).alias("a")).select("sheet", "a.*").distinct()
-    return lo.year_columns(cells.unionByName(fixed), asked, 3).select("sheet", "label", "occurrence", "period", F.col("value").cast("double").alias("value"), "reason")
+    return lo.year_columns(stored(cells.unionByName(fixed), "cells"), asked, 3).select("sheet", "label", "occurrence", "period", F.col("value").cast("double").alias("value"), "reason")
 
 
 @query(f"""WITH k AS (SELECT 'C' || o_custkey || '!' || CASE WHEN y + {SHIFT} < 2019 THEN '平成' || (y + {SHIFT} - 1988) WHEN y + {SHIFT} = 2019 THEN '令和元' ELSE '令和' || (y + {SHIFT} - 2018) END AS sheet, 'FY' || (y + {SHIFT}) AS period, o_orderpriority AS section, count(*) AS n FROM (SELECT *, year(o_orderdate) AS y FROM orders) GROUP BY o_custkey, y, o_orderpriority)
@@ -136,7 +137,7 @@ def year_sheet_sections(spark, sf):
                   (at + 1, 3, F.when(p.isin(1, 2), "計")), (at + 1, 6, F.when(p.isin(1, 2), n)), (at + 2, 3, F.when(p == 2, "合計")), (at + 2, 6, F.when(p == 2, n)), (at + 2, 3, F.when(p == 4, F.col("o_orderpriority"))), (at + 2, 6, F.when(p == 4, "1")))
     fixed = _cells(o.select("sheet").distinct(), F.col("sheet"), (3, 4, "予算"), (3, 5, "予 算"), (3, 6, "決算額"))
     asked = spark.createDataFrame([(s, h) for s in PRIORITIES for h in ("決算額", "予算")], "section string, head string")
-    return lo.year_sheets(body.unionByName(fixed), asked).select("sheet", "section", "head", "period", F.col("value").cast("long").alias("value"), "reason")
+    return lo.year_sheets(stored(body.unionByName(fixed), "cells"), asked).select("sheet", "section", "head", "period", F.col("value").cast("long").alias("value"), "reason")
 
 
 @query("""WITH o AS (SELECT 'C' || o_custkey AS sheet, 'FY' || year(o_orderdate) AS period, replace(o_orderpriority, ' ', '') AS g, quarter(o_orderdate) AS q, count(*) AS n FROM orders GROUP BY ALL)
@@ -155,5 +156,5 @@ def two_level_heads(spark, sf):
     quarters = o.groupBy("sheet", "year", "quarter").agg(F.count("*").alias("n"))
     at = 4 + _index(QUARTERS, "quarter")
     regional = _cells(quarters, name, (at, 1, F.col("quarter")), (3, F.col("year") - 1990, F.col("year")), (at, F.col("year") - 1990, F.col("n"))).distinct().unionByName(_cells(sheets, name, (3, 1, "年度"), (12, 1, "注"), (12, 4, "5")))
-    one = lo.two_level(national, asked).select(F.lit("national").alias("kind"), "sheet", F.col("group").alias("head"), "period", F.col("value").cast("double").alias("value"), "reason")
-    return one.unionByName(lo.region_sheet(regional, LAYOUT.groups).select(F.lit("regional").alias("kind"), "sheet", F.col("code").alias("head"), "period", F.col("value").cast("double").alias("value"), "reason"))
+    one = lo.two_level(stored(national, "cells"), asked).select(F.lit("national").alias("kind"), "sheet", F.col("group").alias("head"), "period", F.col("value").cast("double").alias("value"), "reason")
+    return one.unionByName(lo.region_sheet(stored(regional, "cells"), LAYOUT.groups).select(F.lit("regional").alias("kind"), "sheet", F.col("code").alias("head"), "period", F.col("value").cast("double").alias("value"), "reason"))

@@ -1,4 +1,8 @@
-"""Quality scores learned from preference pairs: Bradley-Terry on feature differences, cut at a score quantile."""
+"""Quality scores learned from preference pairs: Bradley-Terry on feature differences, cut where the labels part.
+
+All labelled rows that are not held out teach: blocks of them are fitted by one task each, their weights averaged, and the
+cut is found from counts of all strengths.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import forget, remainder, stored
 from .words import spaced_words
 
-#: Labelled rows that the fit takes at most, those with the smallest hash of doc_id.
+#: Labelled rows that are fitted together, about; more make more blocks, and every row is in one.
 FIT_ROWS = 20_000
+#: Ranges of equal width in which strengths are counted to find the cut.
+BINS = 1 << 16
 #: Preference pairs for each row of the rarer label.
 PAIRS = 40
 
@@ -42,14 +48,14 @@ def features(text: bytes) -> list[float]:
     return [float(v) for v in x]
 
 
-def bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float = 1.0, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights): a document's strength is weights . (x - mean) / scale.
+def bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float = 1.0, seed: int = 11, mean: np.ndarray | None = None, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, scale, weights): a document's strength is weights . (x - mean) / scale; mean and scale are x's own unless given.
 
     Each pair prefers a row of label 1 to one of label 0; P(preferred) is the logistic function of the strengths'
     difference, so the fit is a logistic regression on feature differences, without a constant, by Newton's method.
     """
-    mean, scale = x.mean(0), x.std(0)
-    scale[scale < 1e-9] = 1
+    mean, scale = x.mean(0) if mean is None else mean, x.std(0) if scale is None else scale
+    scale = np.where(scale < 1e-9, 1, scale)
     z = (x - mean) / scale
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     w = np.zeros(x.shape[1])
@@ -69,40 +75,67 @@ def bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: flo
     return mean, scale, w
 
 
-def cut(strength: np.ndarray, y: np.ndarray) -> float:
-    """The quantile of the strengths (of the fit's rows) that parts the labels best, each label with equal weight."""
-    levels = np.quantile(strength, np.linspace(0, 1, 1001))
-    levels = (levels[1:] + levels[:-1]) / 2
-    good, bad = np.sort(strength[y == 1]), np.sort(strength[y == 0])
-    right = (1 - np.searchsorted(good, levels) / max(len(good), 1)) + np.searchsorted(bad, levels) / max(len(bad), 1)
+def cut(low: float, width: float, bins: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The level of the strengths that parts the labels best, each label with equal weight; from counts of bins of them.
+
+    A level lies midway between two bins with rows; the lowest strength, to which every row comes up, is one too.
+    """
+    levels = np.append(low, low + width * (bins[1:] + bins[:-1] + 1) / 2)
+    below = lambda counts: np.append(0, np.cumsum(counts)[:-1]) / max(counts.sum(), 1)
+    right = 1 - below(good) + below(bad)
     best = np.flatnonzero(right >= right.max() - 1e-12)
     return float(levels[best[len(best) // 2]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
-    """A model (mean, scale, weights, cut) from labelled rows whose crc32 remainder by 3 is not 1, or None without any.
+    """A model (mean, scale, weights, cut) from all labelled rows whose crc32 remainder by 3 is not 1, or None without any.
 
     A doc_id whose labels disagree, or that is null, teaches nothing. Of documents that share a doc_id each is a row.
+    Features are made once; blocks of about `rows` of them give weights for the same mean and scale, of which the mean
+    by preference pairs is the model's: up to `rows` labelled rows, the fit is one regression.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)")
     known = known.filter(remainder(F.col("_id"), 3) != 1).groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_y").alias("_least")).filter("_y = _least").drop("_least")
-    some = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
 
-    def run(batches):
+    def described(batches):
         for batch in batches:
-            x = [features(t.as_py() or b"") for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("binary").alias("_text"))
-    # at most `rows` rows of two integers are broadcast, and as many rows of features come back
-    got = texts.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select("_id", "_y", "_text").mapInArrow(run, "id long, y int, x array<double>")
-    got = got.orderBy(F.xxhash64("id"), "id", "x").limit(rows).select("y", "x").collect()
-    if not got:
+            x = [features(t.as_py() or b"") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["id", "x"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).filter(remainder(F.col("id"), 3) != 1)
+    # features meet the labels, not texts: what is shuffled is small
+    each = texts.mapInArrow(described, "id long, x array<double>")
+    each = stored(each.join(known, each["id"] == known["_id"]).select("id", F.col("_y").alias("y"), "x"), "features")
+    size = len(features(b""))
+    n, *moments = each.agg(F.count("*"), *(f(F.col("x")[i]) for f in (F.avg, F.stddev_pop) for i in range(size))).first()
+    if not n:
+        forget(each)
         return None
-    got.sort()
-    x, y = np.array([r[1] for r in got]), np.array([r[0] for r in got])
-    mean, scale, w = bradley_terry(x, y)
-    return mean, scale, w, cut((x - mean) / scale @ w, y)
+    mean, scale = np.array(moments[:size]), np.array(moments[size:])
+    scale[scale < 1e-9] = 1
+
+    def block(table: pa.Table) -> pa.Table:
+        held = sorted(zip(table.column("y").to_pylist(), table.column("x").to_pylist()))
+        x, y = np.array([r[1] for r in held]), np.array([r[0] for r in held])
+        w = bradley_terry(x, y, mean=mean, scale=scale)[2]
+        return pa.table({"block": table.column("block")[:1], "n": pa.array([float(min(y.sum(), len(y) - y.sum()))]), "w": pa.array([w.tolist()], pa.list_(pa.float64()))})
+
+    dealt = each.withColumn("block", F.pmod(F.xxhash64("id", "x"), F.lit(-(-n // rows))))
+    parts = dealt.groupBy("block").applyInArrow(block, "block long, n double, w array<double>").collect()  # a row of weights for each block
+    parts.sort()
+    w = np.sum([np.array(p[2]) * p[1] for p in parts], 0) / max(sum(p[1] for p in parts), 1)
+
+    def strengths(batches):
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist()).reshape(-1, size)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array((x - mean) / scale @ w)], ["y", "s"])
+
+    strength = each.select("y", "x").mapInArrow(strengths, "y long, s double")
+    low, high = strength.agg(F.min("s"), F.max("s")).first()
+    width = (high - low) / BINS or 1.0
+    counts = strength.groupBy(F.least(F.floor((F.col("s") - low) / width), F.lit(BINS - 1)).alias("bin")).agg(F.sum("y"), F.count("*") - F.sum("y")).collect()  # BINS rows at most
+    forget(each)
+    return mean, scale, w, cut(low, width, *np.array(sorted(counts), np.int64).T)
 
 
 def scored(docs: DataFrame, model) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.llm.decontamination import decontaminated, find_leaks
 from quillstone.llm.exact_dedup import ContentTable, exact_dedup, grace_groups
@@ -15,7 +16,7 @@ from quillstone.llm.license_scan import Templates, scan
 from quillstone.llm.line_dedup import repeated_runs, without_repeated_lines
 from quillstone.llm.near_dedup import near_deduplicated, near_duplicates
 from quillstone.llm.packing import SumOfSquares, pack
-from quillstone.llm.quality import bradley_terry, fit, quality, scored
+from quillstone.llm.quality import bradley_terry, cut, fit, quality, scored
 from quillstone.llm.token_output import TokenFile, dac_encode, token_files
 from quillstone.llm.words import alnum_words
 
@@ -564,6 +565,27 @@ def test_quality(spark):
     assert quality(docs.limit(0), labels).count() == 0
 
 
+def test_every_labelled_row_teaches(spark):
+    """Rows beyond one block count too: without those that any one hash would pick last, or first, the model is another."""
+    rng = random.Random(4)
+    docs = frame(spark, [(i, " ".join(rng.choices(["tree", "house", "a%", "b9", "The"], k=rng.randint(3, 40)))) for i in range(300)])
+    of = lambda rows: frame(spark, [(i, int(i % 2), 0) for i in rows], "doc_id long, quality int, toxic int")
+    order = [r.id for r in spark.range(300).filter("crc32(CAST(CAST(id AS STRING) AS BINARY)) % 3 <> 1").orderBy(F.xxhash64("id")).collect()]
+    flat = lambda m: np.concatenate([*m[:3], [m[3]]])
+    full = flat(fit(docs, of(range(300)), 40))
+    for some in (order[:-30], order[30:]):
+        assert not np.allclose(full, flat(fit(docs, of(some), 40)), rtol=1e-9)
+    # more blocks than one find about the weights of one regression
+    one = flat(fit(docs, of(range(300))))
+    assert np.allclose(full[:36], one[:36]) and np.isfinite(full).all()
+
+
+def test_cut_of_counts():
+    bins, good, bad = np.array([0, 2, 5, 9]), np.array([0, 1, 40, 60]), np.array([50, 30, 1, 0])
+    assert cut(-1.0, 0.5, bins, good, bad) == -1.0 + 0.5 * 4
+    assert cut(3.0, 1.0, bins[:1], good[2:3], bad[2:3]) == 3.0
+
+
 def test_words():
     assert alnum_words("A-b é1\x00C".encode()) == [b"a", b"b", "é1".encode(), b"c"]
 

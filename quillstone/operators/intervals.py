@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ends of intervals lie from 0 to 2^BITS - 1 as a rule; callers with smaller numbers name fewer bits.
@@ -60,3 +60,27 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], lo: str, hi
     begins = point_join(right.withColumn("_at", F.greatest(other_lo, F.lit(0))), left, keys, "_at", lo, hi, bits)
     after = point_join(left.withColumn("_at", F.greatest(lo, F.lit(0))), right.withColumn("_lo", F.greatest(other_lo, F.lit(0)) + 1), keys, "_at", "_lo", other_hi, bits)
     return begins.select(*names).union(after.select(*names))
+
+
+def _swept(rows: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
+    """keys, n_pairs, common of all pairs: at each number where intervals begin or end, how many others are open."""
+    ends = F.explode(F.array(F.struct(F.col(lo).cast("long").alias("at"), F.lit(1).alias("begin"), F.lit(0).alias("end")), F.struct((F.col(hi).cast("long") + 1).alias("at"), F.lit(0).alias("begin"), F.lit(1).alias("end"))))
+    marks = rows.select(*keys, ends.alias("e")).groupBy(*keys, "e.at").agg(F.sum("e.begin").alias("begun"), F.sum("e.end").alias("ended"))
+    w = Window.partitionBy(*keys).orderBy("at")
+    marks = marks.withColumns({"open": F.sum(F.col("begun") - F.col("ended")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.lead("at").over(w)})
+    two = lambda n: F.shiftright(n * (n - 1), 1)
+    begun, opened = F.col("begun"), F.col("open")
+    return marks.groupBy(*keys).agg(F.sum(two(begun) + begun * (opened - begun)).alias("n_pairs"), F.sum(F.when(opened > 1, two(opened) * (F.col("after") - F.col("at"))).otherwise(0)).alias("common"))
+
+
+def overlap_totals(rows: DataFrame, keys: list[str], id: str, lo: str, hi: str) -> DataFrame:
+    """keys, n_pairs, common: how many pairs of intervals with different ids share a number, and how many they share in all.
+
+    The pairs are counted and not made: a sweep over the numbers where a key's intervals begin and end, which grows with
+    the rows, whatever overlaps. Intervals with hi < lo meet nothing; keys without a pair are left out.
+    """
+    rows = rows.select(*keys, id, lo, hi).filter(F.col(lo) <= F.col(hi)).dropna()
+    again = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, id))).filter("_n > 1").drop("_n")
+    same = _swept(again, [*keys, id], lo, hi).select(*keys, (-F.col("n_pairs")).alias("n_pairs"), (-F.col("common")).alias("common"))
+    both = _swept(rows, keys, lo, hi).union(same).groupBy(*keys).agg(F.sum("n_pairs").alias("n_pairs"), F.sum("common").alias("common"))
+    return both.filter("n_pairs > 0")

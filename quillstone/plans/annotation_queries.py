@@ -78,6 +78,4 @@ def shipments_under_way(spark, sf):
     """Pairs of one supplier's shipments that are under way at once, each for as many days as pieces, and their common days."""
     day = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date"))
     one = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("supplier"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), day.alias("lo"), (day + F.col("l_quantity").cast("int")).alias("hi"))
-    other = one.select("supplier", F.col("id").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"))
-    pairs = intervals.overlap_join(one, other, ["supplier"], "lo", "hi", "other_lo", "other_hi", 13).filter("id < other")
-    return pairs.groupBy("supplier").agg(F.count("*").alias("n_pairs"), F.sum(F.least("hi", "other_hi") - F.greatest("lo", "other_lo") + 1).alias("days"))
+    return intervals.overlap_totals(one, ["supplier"], "id", "lo", "hi").withColumnRenamed("common", "days")

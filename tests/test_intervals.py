@@ -78,3 +78,21 @@ def test_a_panel_counts_its_breaks(spark):
     rows = an.annotated(spark.createDataFrame([(f"{s}1", s, "2002", "2007") for s in "abc"], REQUESTS), spark.createDataFrame(series, SERIES), spark.createDataFrame(breaks, BREAKS))
     got = an.panel_summary(rows.withColumn("panel", F.lit(1)), "panel").first()
     assert (got.n_noted, got.n_caution, got.n_notice, got.n_flagged, got.usable_from_max, got.breaks_by_period) == (2, 1, 0, 1, "2002", {"2003": 2, "2005": 2, "2007": 1})
+
+
+def test_overlap_totals_against_pairs(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.randrange(40), lo, lo + rng.randrange(-2, 9)) for lo in (rng.randrange(30) for _ in range(120))] + [("c", 1, 3, 9), ("c", 1, 4, 5), ("d", 1, 3, 9), (None, 1, 1, 2), ("d", 2, None, 9)]
+    df = spark.createDataFrame(rows, "k string, id int, lo int, hi int")
+    ok = [r for r in rows if None not in r and r[2] <= r[3]]
+    pairs = [(a[0], min(a[3], b[3]) - max(a[2], b[2]) + 1) for a in ok for b in ok if a[0] == b[0] and a[1] < b[1] and a[2] <= b[3] and b[2] <= a[3]]
+    want = sorted((k, sum(p[0] == k for p in pairs), sum(p[1] for p in pairs if p[0] == k)) for k in "ab")
+    assert sorted(map(tuple, intervals.overlap_totals(df, ["k"], "id", "lo", "hi").collect())) == want
+
+
+def test_overlap_totals_make_no_pairs(spark):
+    """30,000 intervals that all overlap: 450 million pairs, counted from as many rows as there are ends."""
+    df = spark.range(30_000).select(F.lit(1).alias("k"), "id", (F.col("id") % 50).alias("lo"), F.lit(60).alias("hi"))
+    want = sum(600 * (61 - d) * (600 * d + 299.5) for d in range(50))
+    got = intervals.overlap_totals(df, ["k"], "id", "lo", "hi").first()
+    assert (got.n_pairs, got.common) == (30_000 * 29_999 // 2, want)

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 #: Appended to every document.
 END_ID = 1
 #: Pieces that a worker keeps of the last ones seen, and as many of those before.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: Places of pieces that are filled with ids at once.
 PLACES = 1 << 18
 ODD_SPACE = re.compile(r"\s ")
@@ -181,7 +181,7 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     return _encoders[path, drops_space]
 
 
-def encoded(batches, path: str, drops_space: bool, characters: int = 8_000_000):
+def encoded(batches, path: str, drops_space: bool, characters: int = 2_000_000):
     """(doc_id, ids with the end) for Arrow batches of doc_id and text, some characters at a time."""
     enc = encoder(path, drops_space)
     for batch in batches:

@@ -56,3 +56,19 @@ def test_added_tokens_are_those_of_the_library():
     for name in ENCODERS:
         for text in ("<|endoftext|>", "x<|startoftext|>Y <|ENDOFTEXT|>", "two <|endoftext|><|endoftext|>\n"):
             assert ENCODERS[name].batch(["plain", text, "Plain"]) == [direct(name, t) for t in ("plain", text, "Plain")]
+
+
+def test_encoder_gets_bounded_parts(monkeypatch):
+    """What a worker holds at once is bounded: ten texts of 0.4 million characters come in two parts, not in one."""
+    import pyarrow as pa
+
+    class Counting:
+        parts = []
+
+        def batch(self, texts):
+            self.parts.append(sum(map(len, texts)))
+            return [b""] * len(texts)
+
+    monkeypatch.setattr(tokens, "encoder", lambda *_: Counting())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(["x" * 400_000] * 10)], ["doc_id", "text"])
+    assert [i for i, _ in tokens.encoded([batch], "", True)] == list(range(10)) and Counting.parts == [2_000_000, 2_000_000]

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,35 +22,64 @@ CLASSES = (40, 20, 10)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _plain(text: str | None) -> str:
+    return "".join(unicodedata.normalize("NFKC", text).split()) if text else ""
+
+
 @F.pandas_udf(T.StringType())
 def plain(s: pd.Series) -> pd.Series:
     """NFKC without white space; null is empty."""
-    return s.map(lambda t: "".join(unicodedata.normalize("NFKC", t).split()) if t else "")
+    return s.map(_plain)
 
 
-def window_seeds(text: str, width: int) -> np.ndarray:
-    """The least hash of the runs of width / 2 characters in every window of width characters, each once.
+def window_seeds(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the text, seed): the least hash of the runs of width / 2 characters in every window of width characters, each once a text.
 
-    It depends on the window alone: a text that holds a window has its seed, and a text has far fewer than windows.
+    It depends on the window alone: a text that holds a window has its seed, and a text has far fewer than windows. The
+    texts are hashed in one run, and windows that cross from one to the next are left out.
     """
-    if len(text) < width:
-        return np.empty(0, np.int64)
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(code) < width:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     run = width // 2
     h = np.zeros(len(code) - run + 1, np.uint64)
     for i in range(run):
         h = h * np.uint64(1000003) + code[i : i + len(h)]
     h = (h ^ (h >> np.uint64(29))) * _MIX
     h ^= h >> np.uint64(32)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, width - run + 1).min(axis=1)).view(np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(h, width - run + 1).min(axis=1).view(np.int64)
+    ends = np.cumsum(list(map(len, texts)))
+    text = np.searchsorted(ends, np.arange(len(least)), "right")
+    inside = np.arange(len(least)) + width <= ends[text]
+    least, text = least[inside], text[inside]
+    order = np.lexsort((least, text))
+    least, text = least[order], text[order]
+    new = np.append(True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]))[: len(least)]
+    return text[new], least[new]
+
+
+#: Texts that are normalised and cut into windows at once.
+TEXTS = 256
 
 
-def _seeds(width: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def seeds(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: window_seeds(t, width))
+def seeded(units: DataFrame, keys: list[str], whole_texts: bool = False) -> DataFrame:
+    """unit_id, keys, width, seed of each text's windows of every class: one pass in one worker, few texts at a time.
+
+    whole_texts: a text is one window, and has the seed of the class of its length alone.
+    """
+    head = units.select("unit_id", *keys)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                bodies = [_plain(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+                for width in CLASSES:
+                    row, found = window_seeds([t if len(t) == width or not whole_texts else "" for t in bodies], width)
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns[:-1]), pa.array(np.full(len(found), width, np.int32)), pa.array(found)], [*batch.schema.names[:-1], "width", "seed"])
 
-    return seeds
+    schema = T.StructType([*head.schema.fields, T.StructField("width", T.IntegerType()), T.StructField("seed", T.LongType())])
+    return units.select("unit_id", *keys, F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def fragments(quotes: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,16 +97,13 @@ def needle_hits(needles: DataFrame, units: DataFrame, keys: list[str]) -> DataFr
     Units give their seeds, and only those that a needle has go on: the texts move once, to the units hit, where the
     needle is looked for in full. Every needle meets every unit that holds it, however common.
     """
-    body = units.select("unit_id", *keys, plain(F.col("text")).alias("body"))
-    found = []
-    for longer, width in zip((None, *CLASSES), CLASSES):
-        long = F.length("needle")
-        ours = needles.select(*keys, "needle").distinct().filter((long >= width) & (long < longer if longer else F.lit(True)))
-        ours = ours.select(*keys, "needle", F.get(_seeds(width)(F.substring("needle", 1, width)), F.lit(0)).alias("seed"))
-        there = body.select("unit_id", *keys, F.explode(_seeds(width)("body")).alias("seed"))
-        found.append(there.join(small(ours), [*keys, "seed"]).select("unit_id", *keys, "needle"))
-    pairs = reduce(DataFrame.union, found)
-    held = body.select("unit_id", "body").join(pairs, "unit_id").filter(F.contains("body", "needle"))
+    long = F.length("needle")
+    width = reduce(lambda out, c: out.when(long >= c, c), CLASSES[1:], F.when(long >= CLASSES[0], CLASSES[0]))
+    ours = needles.select(*keys, "needle").distinct().withColumn("width", width).filter("width IS NOT NULL")
+    ours = seeded(ours.select(F.col("needle").alias("unit_id"), *keys, F.expr("substring(needle, 1, width)").alias("text")), keys, True).withColumnRenamed("unit_id", "needle")
+    pairs = seeded(units, keys).join(small(ours), [*keys, "width", "seed"]).select("unit_id", *keys, "needle")
+    body = units.select("unit_id", plain(F.col("text")).alias("body"))
+    held = body.join(pairs, "unit_id").filter(F.contains("body", "needle"))
     return held.groupBy(*keys, "needle").agg(F.count("*").alias("n"), F.min("unit_id").alias("unit_id"))
 
 

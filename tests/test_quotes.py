@@ -45,3 +45,16 @@ def test_attribution(spark):
     f = spark.createDataFrame([("a", "u", "Ｋ ono", "fragment", None), ("b", "u", "不明", "fragment", None), ("c", "u", "X", "fragment", None), ("d", "u", "X", "page", None), ("e", "u", "不明", "page", None), ("f", None, None, "none", None)], "quote_id string, unit_id string, speaker string, how string, fragment string")
     labels = spark.createDataFrame([("a", "Kono"), ("b", "K"), ("c", "K"), ("d", None), ("e", None), ("f", "K"), ("g", "K")], "quote_id string, speaker string")
     assert {r.quote_id: r.verdict for r in qt.attribution(f, labels).collect()} == {"a": "ok", "b": "unknown", "c": "wrong", "d": "named_anonymous", "e": "ok", "f": "no_unit", "g": "no_unit"}
+
+
+def test_seeds_of_many_texts_are_those_of_each(spark):
+    """One pass gives all classes, and no window crosses from one text to the next."""
+    texts = ["", "abc", "0123456789" * 3, "x" * 25, "äöü" * 20, "0123456789"]
+    for width in qt.CLASSES:
+        row, seed = qt.window_seeds(texts, width)
+        assert sorted(zip(row.tolist(), seed.tolist())) == sorted((i, s) for i, t in enumerate(texts) for s in qt.window_seeds([t], width)[1].tolist())
+    units = spark.createDataFrame([(i, "p", t) for i, t in enumerate(texts)], "unit_id int, path string, text string")
+    got = {(r.unit_id, r.width) for r in qt.seeded(units, ["path"]).collect()}
+    assert got == {(i, w) for i, t in enumerate(texts) for w in qt.CLASSES if len(t) >= w}
+    # one evaluation in Python for the texts' seeds, whatever the number of classes
+    assert qt.seeded(units, ["path"])._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1

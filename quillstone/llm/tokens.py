@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import string
@@ -25,6 +26,7 @@ PLAIN_WORD, SPACED_WORD = re.compile("[a-z]+"), re.compile(" ?[A-Za-zÀ-ÖØ-ö
 # how byte-level vocabularies write a byte: as its Latin-1 character where that is printable, else by those from 256 on
 _ODD_BYTES = [*range(33), *range(127, 161), 173]
 BYTE_CHARS = {byte: 256 + k for k, byte in enumerate(_ODD_BYTES)}
+BYTE_TABLE = "".join(chr(BYTE_CHARS.get(byte, byte)) for byte in range(256))
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,6 +35,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def as_byte_chars(words: list[str]) -> list[str]:
+    """Words, none of which has a line feed, as byte-level vocabularies write them: all in one run."""
+    return codecs.charmap_decode("\n".join(words).encode(), "strict", BYTE_TABLE)[0].split(BYTE_TABLE[10])
+
+
 class Encoder:
     """ids of whole texts as little-endian unsigned 32-bit integers, equal to those of the tokenizer on the whole text.
 
@@ -47,6 +54,7 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.drops_space, self.cache, self.old = drops_space, {"": b""}, {}
         # what stands between pieces that are encoded together: one token, whatever is beside it
@@ -82,13 +90,14 @@ class Encoder:
     def encode(self, pieces: list[str]) -> None:
         """Put the ids of these pieces into the cache: plain words by the merges alone, others by the whole tokenizer."""
         known = self.cache
-        word, merge, alone, rest = self.word.fullmatch, self.tokenizer.model.tokenize, [], []
-        for p in pieces:
-            if word(p):
-                known[p] = array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
-            else:
-                rest.append(p)
-        pieces = rest
+        word, merge, alone = self.word.fullmatch, self.merge, []
+        plain = list(filter(word, pieces))
+        if len(plain) < len(pieces):
+            pieces = [p for p in pieces if not word(p)]
+        else:
+            pieces = []
+        for p, raw in zip(plain, as_byte_chars(plain)):
+            known[p] = array("I", [t.id for t in merge(raw)]).tobytes()
         if self.mark_id is None:
             alone, pieces = pieces, []
         at = 0
@@ -117,19 +126,21 @@ class Encoder:
             again = [p for p in new if p in old]
             known.update(zip(again, map(old.__getitem__, again)))
             new.difference_update(again)
-        plain = {p for p in new if p[-1].isalpha() and "\n" not in p}
-        new -= plain
         atoms = self.atoms
         for p in new:
-            if p[-1] in ",." and p[-2:-1].lower().isalpha() and "\n" not in p:  # the usual case
-                made[p] = parts = p[:-1], p[-1]
+            last = p[-1]
+            if last.isalpha() and "\n" not in p:
+                need.add(p)
+                continue
+            if last in ",." and p[-2:-1].lower().isalpha() and "\n" not in p:  # the usual case
+                made[p] = parts = p[:-1], last
             else:
                 parts = atoms(p)
                 if len(parts) > 1:
                     made[p] = parts
             need.update(parts)
-        need |= plain
-        self.encode([p for p in need if p not in known])
+        need.difference_update(known)
+        self.encode(list(need))
         get = known.__getitem__
         for p, parts in made.items():
             known[p] = b"".join(map(get, parts))

@@ -72,3 +72,13 @@ def test_encoder_gets_bounded_parts(monkeypatch):
     monkeypatch.setattr(tokens, "encoder", lambda *_: Counting())
     batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(["x" * 400_000] * 10)], ["doc_id", "text"])
     assert [i for i, _ in tokens.encoded([batch], "", True)] == list(range(10)) and Counting.parts == [2_000_000, 2_000_000]
+
+
+def test_words_are_written_in_bytes_all_in_one_run():
+    """Every letter that plain words have, as the library's byte level writes it; a run of words takes one table look-up a byte."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    words = [f"{space}a{chr(c)}z" for space in ("", " ") for c in range(65, 0x250) if tokens.SPACED_WORD.fullmatch(f"a{chr(c)}z")]
+    assert len(words) > 800
+    assert tokens.as_byte_chars(words) == ["".join(p for p, _ in ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(w)) for w in words]
+    assert all(tokens.BYTE_TABLE[b] == chr(tokens.BYTE_CHARS.get(b, b)) for b in range(256))

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from quillstone.operators import layouts as lo
 from quillstone.plans.adapters import table
 from quillstone.plans.catalog import query
-from quillstone.sources.shared import stored
+from quillstone.sources.shared import dealt, stored
 
 SECTIONS = (("貸借対照表", "BS"), ("行政コスト計算書", "PL"), ("資金収支計算書", "CF"))
 STATES, QUARTERS, BANDS = ("F", "O", "P"), ("Q1", "Q2", "Q3", "Q4"), ("B0", "B1", "B2", "B3", "B4")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 LAYOUT = lo.Statements(SECTIONS, {"Q1": "R0", "Q2": "R1", "Q3": "R2", "Q4": "R3"}, BANDS)
 HEIGHT, START = 80, 6
+#: Orders in a task that makes cells of them.
+ORDERS = 100_000
 
 
 def _index(values, column):
@@ -23,7 +25,8 @@ def _index(values, column):
 def _orders(spark, sf):
     """Orders with a sheet for each customer, their year, quarter and band of price."""
     band = F.concat(F.lit("B"), F.least(F.floor(F.col("o_totalprice") / 100000), F.lit(4)).cast("string"))
-    return table(spark, sf, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("sheet"), "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("year"), F.concat(F.lit("Q"), F.quarter("o_orderdate")).alias("quarter"), band.alias("band"))
+    o = table(spark, sf, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("sheet"), "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("year"), F.concat(F.lit("Q"), F.quarter("o_orderdate")).alias("quarter"), band.alias("band"))
+    return dealt(o, "sheet", each=ORDERS)
 
 
 def _cells(rows, sheet, *cells):
@@ -34,6 +37,11 @@ def _cells(rows, sheet, *cells):
     return rows.select(sheet.alias("sheet"), F.explode(each).alias("c")).select("sheet", "c.*").filter("text IS NOT NULL")
 
 
+def _stored(cells):
+    """cells, made once and dealt by sheet, as all that reads them goes by sheet."""
+    return dealt(stored(cells, "cells"), "sheet")
+
+
 def statement_sheets(spark, sf):
     """A sheet a customer: three sections by state, in each a total, years and, indented, priorities; columns are quarters by bands.
 
@@ -57,7 +65,7 @@ def statement_sheets(spark, sf):
             fixed += [(at + 1, 7 + c, F.when(name.endswith("7") & (c == 3), "別").otherwise(text) if i == 1 else text)]
     fixed += [(row, 2, "その他") for row in (end - 5, end - 4)] + [(end - 5, 7, "5"), (end, 1, lo.END), (end + 1, 2, "一人当たり"), (end + 1, 7, "9")]
     fixed += [(LAYOUT.group_row, 7 + 5 * i, r) for i, r in enumerate(QUARTERS)]
-    return stored(leaves.unionByName(years).unionByName(totals).unionByName(_cells(sheets, name, *fixed)), "cells")
+    return _stored(leaves.unionByName(years).unionByName(totals).unionByName(_cells(sheets, name, *fixed)))
 
 
 _IDX = lambda values, c: f"(list_position([{', '.join(repr(v) for v in values)}], {c}) - 1)"
@@ -87,7 +95,7 @@ SHIFT = 22
 
 
 def _years(spark, sf):
-    o = table(spark, sf, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(12,2)")).alias("price"))
+    o = dealt(table(spark, sf, "orders"), "o_custkey", each=ORDERS).groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(12,2)")).alias("price"))
     first = F.min("year").over(lo.Window.partitionBy("o_custkey"))
     ours = F.col("year") + SHIFT
     era, number = F.when(ours < 2019, "平成").otherwise("令和"), F.when(ours < 2019, ours - 1988).otherwise(ours - 2018)
@@ -120,7 +128,7 @@ def era_heads(spark, sf):
     cells = _cells(y, F.col("sheet"), (3, col, F.concat(F.when(F.col("opens"), F.col("era")).otherwise(""), "number")), (5, col, F.col("n")), (7, col, "-1"), (9, col, F.format_number("price", 2)))
     fixed = _cells(y.select("sheet").distinct(), F.col("sheet"), (3, 1, "事項"), (3, 40, "9（決算見込額）"), (5, 40, "77"), (5, 2, "歳 入"), (7, 3, "計"), (9, 3, "計"))
     asked = y.select("sheet", F.explode(F.array(*(F.struct(F.lit(a).alias("label"), F.lit(b).alias("occurrence")) for a, b in (("歳入", 0), ("計", 2), ("計", 0), ("歳出", 0))))).alias("a")).select("sheet", "a.*").distinct()
-    return lo.year_columns(stored(cells.unionByName(fixed), "cells"), asked, 3).select("sheet", "label", "occurrence", "period", F.col("value").cast("double").alias("value"), "reason")
+    return lo.year_columns(_stored(cells.unionByName(fixed)), asked, 3).select("sheet", "label", "occurrence", "period", F.col("value").cast("double").alias("value"), "reason")
 
 
 @query(f"""WITH k AS (SELECT 'C' || o_custkey || '!' || CASE WHEN y + {SHIFT} < 2019 THEN '平成' || (y + {SHIFT} - 1988) WHEN y + {SHIFT} = 2019 THEN '令和元' ELSE '令和' || (y + {SHIFT} - 2018) END AS sheet, 'FY' || (y + {SHIFT}) AS period, o_orderpriority AS section, count(*) AS n FROM (SELECT *, year(o_orderdate) AS y FROM orders) GROUP BY o_custkey, y, o_orderpriority)
@@ -130,14 +138,14 @@ def year_sheet_sections(spark, sf):
     """A book a customer, a sheet a year, a row a priority: complete, with a total below, with two, with a dash, and printed twice."""
     ours = F.col("year") + SHIFT
     name = F.when(ours < 2019, F.concat(F.lit("平成"), (ours - 1988).cast("string"))).when(ours == 2019, "令和元").otherwise(F.concat(F.lit("令和"), (ours - 2018).cast("string")))
-    o = table(spark, sf, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year"), "o_orderpriority").agg(F.count("*").alias("n"))
+    o = dealt(table(spark, sf, "orders"), "o_custkey", each=ORDERS).groupBy("o_custkey", F.year("o_orderdate").alias("year"), "o_orderpriority").agg(F.count("*").alias("n"))
     o = o.withColumns({"sheet": F.concat(F.lit("C"), "o_custkey", F.lit("!"), name), "p": _index(PRIORITIES, "o_orderpriority")})
     at, n, p = 10 + 5 * F.col("p"), F.col("n"), F.col("p")
     body = _cells(o, F.col("sheet"), (at, 2, F.when(p == 0, F.concat(F.lit("（"), "o_orderpriority", F.lit("）"))).otherwise(F.col("o_orderpriority"))), (at, 6, F.when(p.isin(0, 4), n)), (at, 5, F.when(p == 3, "12")), (at, 6, F.when(p == 3, "－")),
                   (at + 1, 3, F.when(p.isin(1, 2), "計")), (at + 1, 6, F.when(p.isin(1, 2), n)), (at + 2, 3, F.when(p == 2, "合計")), (at + 2, 6, F.when(p == 2, n)), (at + 2, 3, F.when(p == 4, F.col("o_orderpriority"))), (at + 2, 6, F.when(p == 4, "1")))
     fixed = _cells(o.select("sheet").distinct(), F.col("sheet"), (3, 4, "予算"), (3, 5, "予 算"), (3, 6, "決算額"))
     asked = spark.createDataFrame([(s, h) for s in PRIORITIES for h in ("決算額", "予算")], "section string, head string")
-    return lo.year_sheets(stored(body.unionByName(fixed), "cells"), asked).select("sheet", "section", "head", "period", F.col("value").cast("long").alias("value"), "reason")
+    return lo.year_sheets(_stored(body.unionByName(fixed)), asked).select("sheet", "section", "head", "period", F.col("value").cast("long").alias("value"), "reason")
 
 
 @query("""WITH o AS (SELECT 'C' || o_custkey AS sheet, 'FY' || year(o_orderdate) AS period, replace(o_orderpriority, ' ', '') AS g, quarter(o_orderdate) AS q, count(*) AS n FROM orders GROUP BY ALL)
@@ -156,5 +164,5 @@ def two_level_heads(spark, sf):
     quarters = o.groupBy("sheet", "year", "quarter").agg(F.count("*").alias("n"))
     at = 4 + _index(QUARTERS, "quarter")
     regional = _cells(quarters, name, (at, 1, F.col("quarter")), (3, F.col("year") - 1990, F.col("year")), (at, F.col("year") - 1990, F.col("n"))).distinct().unionByName(_cells(sheets, name, (3, 1, "年度"), (12, 1, "注"), (12, 4, "5")))
-    one = lo.two_level(stored(national, "cells"), asked).select(F.lit("national").alias("kind"), "sheet", F.col("group").alias("head"), "period", F.col("value").cast("double").alias("value"), "reason")
-    return one.unionByName(lo.region_sheet(stored(regional, "cells"), LAYOUT.groups).select(F.lit("regional").alias("kind"), "sheet", F.col("code").alias("head"), "period", F.col("value").cast("double").alias("value"), "reason"))
+    one = lo.two_level(_stored(national), asked).select(F.lit("national").alias("kind"), "sheet", F.col("group").alias("head"), "period", F.col("value").cast("double").alias("value"), "reason")
+    return one.unionByName(lo.region_sheet(_stored(regional), LAYOUT.groups).select(F.lit("regional").alias("kind"), "sheet", F.col("code").alias("head"), "period", F.col("value").cast("double").alias("value"), "reason"))

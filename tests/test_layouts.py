@@ -80,3 +80,18 @@ def test_regions_stand_once_each(spark):
     assert see(good + [("s", 6, 1, "東")]) == [(None, None, "repeated_region")]
     assert see(good[:4]) == [(None, None, "missing_region")]
     assert see(good[1:]) == [(None, None, "no_years")]
+
+
+def test_tasks_grow_with_the_tables(spark, monkeypatch):
+    """Orders and cells are dealt by sheet to as many tasks as their rows call for, and a sheet stays in one of them."""
+    from pyspark.sql import functions as F
+
+    from quillstone.plans import layout_queries as lq
+    from quillstone.sources import shared
+
+    monkeypatch.setattr(lq, "ORDERS", 50)
+    orders = lq._orders(spark, "/root/testdata/sf0.001")
+    assert orders.rdd.getNumPartitions() == -(-orders.count() // 50) > 8
+    cells = shared.dealt(frame(spark, [(f"s{i % 9}", i, 1, "x") for i in range(100)]), "sheet", each=5)
+    assert cells.rdd.getNumPartitions() == 20
+    assert cells.withColumn("task", F.spark_partition_id()).groupBy("sheet").agg(F.count_distinct("task").alias("n")).filter("n > 1").isEmpty()

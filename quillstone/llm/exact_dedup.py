@@ -17,6 +17,8 @@ from .tokens import record_batches
 #: Bytes of text that a task's table holds; what doesn't fit goes to spill files.
 TABLE_BYTES = 64 << 20
 FAN_OUT = 16
+#: Up to so many contents with copies (under 200 bytes each) are broadcast, so that no text moves to find them; beyond, all rows are shuffled.
+BROADCAST_GROUPS = 200_000
 _HEAD = struct.Struct("<qqqI32s")
 _SCHEMA = pa.schema([("sha", pa.binary()), ("content", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("ties", pa.int64())])
 _DDL = "sha binary, content binary, keep_id long, group_size long, ties long"
@@ -149,7 +151,11 @@ def exact_dedup(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     dup = stored(groups.select(F.lower(F.hex("sha")).alias("text_sha256"), F.col("keep_id").alias(keep_), F.col("group_size").alias(size_), F.col("ties").alias(ties_)), "copies")
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).cast("binary"), 256)
     # the texts stay behind where only other columns are asked for
-    out = hot_lookup(docs.select(*(F.col(f"`{c}`") for c in names), sha.alias("text_sha256")), dup, "text_sha256", size_, total)
+    named = docs.select(*(F.col(f"`{c}`") for c in names), sha.alias("text_sha256"))
+    if dup.count() <= BROADCAST_GROUPS:
+        out = named.join(F.broadcast(dup), "text_sha256", "left")
+    else:
+        out = hot_lookup(named, dup, "text_sha256", size_, total)
     keep = F.when(F.col(size_).isNull(), F.col("doc_id").cast("long")).otherwise(F.when(F.col(keep_) > NO_ID, F.col(keep_)))
 
     def columns(rows: DataFrame, kept) -> DataFrame:

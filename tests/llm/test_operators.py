@@ -65,6 +65,22 @@ def test_table_compares_contents_not_hashes():
     assert [(e[1], e[2], e[3]) for e in t.entries] == [(b"a", 9, 2), (b"b", 2, 1)]
 
 
+def test_texts_stay_where_they_are_when_few_have_copies(spark, monkeypatch):
+    """Contents with copies are broadcast up to a bound, whatever Spark's own threshold; beyond it the result is the same."""
+    from quillstone.llm import exact_dedup as module
+
+    docs = spark.createDataFrame([(i, f"Text {i % 40}") for i in range(60)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = module.exact_dedup(docs)
+        assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(module, "BROADCAST_GROUPS", 0)
+        assert sorted(few.collect()) == sorted(module.exact_dedup(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_exact_dedup(spark):
     rows = texts(300) + EDGES + [(7, "line\n" * 500), (None, "some text of no id")]
     df = frame(spark, [(*r, "x", k, k, k) for k, r in enumerate(rows)], DOC + ", kept string, _k int, _size int, _keep int")

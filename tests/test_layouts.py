@@ -95,3 +95,12 @@ def test_tasks_grow_with_the_tables(spark, monkeypatch):
     cells = shared.dealt(frame(spark, [(f"s{i % 9}", i, 1, "x") for i in range(100)]), "sheet", each=5)
     assert cells.rdd.getNumPartitions() == 20
     assert cells.withColumn("task", F.spark_partition_id()).groupBy("sheet").agg(F.count_distinct("task").alias("n")).filter("n > 1").isEmpty()
+
+
+def test_facts_are_summed_in_tasks_that_grow_with_the_lines(spark, monkeypatch):
+    from quillstone.plans import adapters
+
+    monkeypatch.setattr(adapters, "tasks_for", lambda rows: -(-rows.count() // 300))
+    facts = adapters.facts(spark, "/root/testdata/sf0.001", "o_custkey")
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 3 and plan.count("ENSURE_REQUIREMENTS") == 0

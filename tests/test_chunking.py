@@ -55,8 +55,29 @@ def test_chunks_are_those_of_a_plain_loop(spark):
     assert chunking.semantic_chunks(df.limit(0), "doc", "n", "text", "vec", 100).collect() == []
 
 
+def test_sentences_are_read_once_and_parts_made_once(spark):
+    df = spark.createDataFrame([(1, 0, "a", [1.0]), (1, 1, "b", [2.0])], ROWS)
+    plan = chunking.semantic_chunks(df, "doc", "n", "text", "vec", 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("aggregate(") == 1
+
+
+def test_distances_of_odd_vectors(spark):
+    rows = [([1.0, 0.0], [0.0, 2.0]), ([3.0], [4.0]), ([1.0, None], [1.0, 1.0]), ([1.0], [1.0, 0.0]), ([], []), (None, [1.0]), ([0.0], [1.0])]
+    df = spark.createDataFrame(rows, "a array<float>, b array<float>").coalesce(1)
+    assert [r[0] for r in df.select(chunking.cosine_distance(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0] + [None] * 5
+
+
 def test_headings(spark):
     rows = [("utterance", "会議", 3, "2024-05-01", "議事録", "鈴木委員", None, None, None), ("page", "会議", 3, None, "資料", None, "資料1", "（案）概要", 7), ("page", "会議", 3, "", "資料", "事務局", "", "概要", 1)]
     df = spark.createDataFrame(rows, "a string, b string, c int, d string, e string, f string, g string, h string, i int")
     got = [r[0] for r in df.select(chunking.heading(*(F.col(c) for c in "abcdefghi"))).collect()]
     assert got == ["会議 第3回（2024-05-01）議事録・鈴木委員：", "会議 第3回（日付なし）資料1 概要 p7・不明：", "会議 第3回（）概要 p1・事務局：".replace("（）", "（日付なし）")]
+
+
+def test_vectors_that_are_not_broadcast_change_nothing(spark, monkeypatch):
+    from quillstone.plans import text_queries as tq
+
+    sf = "/root/testdata/sf0.001"
+    first = sorted(map(tuple, tq.semantic_chunks(spark, sf).collect()))
+    monkeypatch.setattr(tq.rt, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, tq.semantic_chunks(spark, sf).collect())) == first

@@ -13,6 +13,14 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_texts_are_cut_into_words_once_and_scores_stay_where_they_are_made(spark):
+    queries, chunks = rows(spark)
+    ranked = rt.bm25_by(queries, chunks, "lang", 5)
+    assert "regexp_extract_all" not in plan(ranked)
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(query_id") == 1
+    assert sorted((r.query_id, r.id, r.lang, r["rank"]) for r in ranked.collect()) == [(7, 1, "x", 1), (7, 2, "y", 1)]
+
+
 def test_words_are_looked_up_once_and_a_text_is_found_once(spark):
     queries = spark.createDataFrame([(1, "x One two three y"), (2, "two"), (3, "")], "query_id long, text string")
     texts = spark.createDataFrame([(1, "aX ONE two three yb one two three one two three"), (2, "x one, two three y"), (3, None), (4, "")], "id long, text string")

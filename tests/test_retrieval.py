@@ -35,3 +35,11 @@ def test_metrics_read_the_gold_rows_once(spark):
     got = rt.hit_metrics(ranked, gold)
     assert plan(got).count("Join") == 1
     assert tuple(got.first()) == (3, 0.0, 0.333333, 0.666667, round((1 / 2 + 1 / 6) / 3, 6))
+
+
+def test_near_pairs_rank_once(spark):
+    queries, _ = rows(spark)
+    chunks = spark.createDataFrame([(1, "b c d e f g h i"), (2, "b c d e f g h i j"), (3, "b q r s t u v w")], "id long, text string")
+    pairs = rt.near_pairs(rt.bm25(queries, chunks, 5).join(chunks, "id"))
+    assert "Window" not in plan(pairs) and "array_distinct" not in plan(pairs)
+    assert list(map(tuple, pairs.collect())) == [(7, 1, 2, 0.8, 1.0)]

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .tokens import encoded, record_batches, tokenizer_path
 
 WINDOW = 2048
+#: Characters that are encoded at once: the more, the fewer the pieces that are looked up again.
+CHARACTERS = 4_000_000
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -100,7 +102,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, drops_space: bool = Fals
             serial += 1
 
         def rows():
-            for doc_id, ids in encoded(batches, path, drops_space):
+            for doc_id, ids in encoded(batches, path, drops_space, CHARACTERS):
                 n = len(ids) // 4
                 whole = n // window * window
                 for start in range(0, whole, window):
